@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema
 
-#: Pieces that a task remembers; when full, it forgets them all and goes on.
-CACHE = 400_000
+#: Pieces that a worker process remembers, about 300 bytes each; when full, it forgets them all and goes on.
+CACHE = 1_000_000
 #: Pieces that go to one recursive query: bounds the database's memory.
 AT_ONCE = 50_000
 MEMORY = "400MB"
@@ -36,14 +36,14 @@ CREATE OR REPLACE TEMP TABLE reached AS
 WITH RECURSIVE step(piece, place, token, width, round) AS (
     SELECT piece, place, token, width, 0 FROM start
   UNION ALL
-    (WITH pairs AS (
-        SELECT a.piece, m.rank, a.place, a.place + a.width AS eaten, a.width + b.width AS width
+    (WITH best AS (
+        SELECT a.piece, min((m.rank::UBIGINT << 48) | (a.place::UBIGINT << 20) | (a.width::UBIGINT << 10) | b.width::UBIGINT) AS k
         FROM step a JOIN step b ON b.place = a.place + a.width AND b.piece = a.piece JOIN merges m ON m.pair = a.token::BIGINT << 32 | b.token
-        WHERE a.round < {ROUNDS}
+        WHERE a.round < {ROUNDS} GROUP BY a.piece
      ),
-     best AS (SELECT piece, arg_min({{'place': place, 'eaten': eaten, 'rank': rank, 'width': width}}, rank::BIGINT << 40 | place) AS m FROM pairs GROUP BY piece)
-     SELECT s.piece, s.place, CASE WHEN s.place = m.place THEN m.rank ELSE s.token END, CASE WHEN s.place = m.place THEN m.width ELSE s.width END, s.round + 1
-     FROM step s JOIN best USING (piece) WHERE s.place <> m.eaten)
+     found AS (SELECT piece, (k >> 48)::INTEGER AS rank, ((k >> 20) & 268435455)::BIGINT AS place, ((k >> 10) & 1023)::INTEGER AS own, (k & 1023)::INTEGER AS next FROM best)
+     SELECT s.piece, s.place, CASE WHEN s.place = m.place THEN m.rank ELSE s.token END, CASE WHEN s.place = m.place THEN m.own + m.next ELSE s.width END, s.round + 1
+     FROM step s JOIN found m USING (piece) WHERE s.place <> m.place + m.own)
 ),
 last AS (SELECT piece, max(round) AS round FROM step GROUP BY piece)
 SELECT step.* FROM step JOIN last USING (piece, round)
@@ -103,6 +103,8 @@ def load_ranks(lines: Iterator[bytes]) -> dict[bytes, int]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+#: Pieces already encoded, by vocabulary; a worker process that runs several tasks keeps them.
+_KNOWN: dict[str, dict[str, tuple[bytes, bytes]]] = {}
 
 
 def _encoder(path: str) -> Encoder:
@@ -116,16 +118,16 @@ def _encoder(path: str) -> Encoder:
 def encode_texts(texts: list[str | None], split: Callable[[str], list[str]], encoder: Encoder, cache: dict[str, tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
     """Ids (4 bytes each) and decoded bytes of each text; the texts' new pieces are encoded together."""
     cut = [split(t) if t else [] for t in texts]
-    new = {p for pieces in cut for p in pieces if p not in cache}
-    if len(cache) + len(new) > CACHE:
+    seen = set().union(*cut)
+    todo = list(seen.difference(cache))
+    if len(cache) + len(todo) > CACHE:
         cache.clear()
-        new = {p for pieces in cut for p in pieces}
-    todo = list(new)
+        todo = list(seen)
     cache.update(zip(todo, encoder.encode([p.encode("utf-8", "surrogatepass") for p in todo]), strict=True))
     out = []
     for pieces in cut:
-        found = [cache[p] for p in pieces]
-        out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+        ids, decoded = zip(*map(cache.__getitem__, pieces)) if pieces else ((), ())
+        out.append((b"".join(ids), b"".join(decoded)))
     return out
 
 
@@ -153,7 +155,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     out = arrow_schema(docs.sparkSession, schema)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, cache = regex.compile(pattern).findall, {}
+        split, cache = regex.compile(pattern).findall, _KNOWN.setdefault(ranks_path, {})
         encoder = _encoder(ranks_path)
         for batch in batches:
             at = 0
