@@ -2,8 +2,8 @@
 
 Lines become 128-bit hashes of their keys. Counts come in two steps, so that no line, however common, meets in one task:
 each document contributes a key once, per-document-salted partial counts are combined map-side, and the partial rows are
-range-partitioned by hash with a secondary sort by first document and position; the final pass streams them and keeps the
-first occurrence of each key that is common. What goes back to the documents is a bitmap of dropped lines (only its
+range-partitioned by hash with a secondary sort by first document; the final pass streams them and keeps the first
+document of each key that is common. What goes back to the documents is a bitmap of dropped lines (only its
 non-zero 64-bit words), never text.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, partitions
+from .common import ascii_lower, partitions, spill
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Shares into which the rows of one key are split before they are added up.
@@ -20,32 +20,43 @@ SALT = 64
 
 
 def line_keys(text: Column) -> Column:
-    """array<struct<a, b, n>>: two independent hashes of every line's key, and its code points."""
+    """array<struct<a, b, some>>: two independent hashes of every line's key, and whether it has a code point."""
 
     def hashed(line: Column) -> Column:
-        key = ascii_lower(F.btrim(line, F.lit(SPACE)))
-        return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"), (F.char_length(key) > 0).alias("some"))
+        key = F.btrim(line, F.lit(SPACE))
+        return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"), (F.octet_length(key) > 0).alias("some"))
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), hashed)
+    return F.transform(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n"), hashed)
 
 
-def common_lines(docs: DataFrame, min_docs: int) -> DataFrame:
-    """a, b, n_docs and the first place (doc_id, line) of every key found in min_docs documents or more."""
-    once = docs.select("doc_id", F.posexplode(F.array_distinct(F.filter(line_keys(F.col("text")), lambda x: x["some"]))).alias("at", "k"))
-    part = once.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.pmod(F.hash("doc_id"), F.lit(SALT)).alias("salt")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
-    swept = part.repartitionByRange(partitions(docs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "first")
-    return swept.groupBy("a", "b").agg(F.sum("n").alias("n_docs"), F.first("first").alias("first")).filter(F.col("n_docs") >= min_docs)
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line, a, b: a row for each line with a key, and one with line -1 for each distinct key of a document."""
+    none = F.lit(-1)
+
+    def both(keys: Column) -> Column:
+        places = F.transform(keys, lambda k, i: F.struct(i.alias("line"), k["a"].alias("a"), k["b"].alias("b"), k["some"].alias("some")))
+        once = F.transform(F.array_distinct(keys), lambda k: F.struct(none.alias("line"), k["a"].alias("a"), k["b"].alias("b"), k["some"].alias("some")))
+        return F.concat(places, once)
+
+    # an array of one element, transformed, names the keys so that they are made once
+    rows = F.flatten(F.transform(F.array(line_keys(F.col("text"))), both))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.filter(rows, lambda k: k["some"])).alias("k")).select("doc_id", "text_hash", "k.line", "k.a", "k.b")
+
+
+def common_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """a, b, n_docs and the first document of every key found in min_docs documents or more."""
+    part = lines.filter("line = -1").groupBy("a", "b", F.pmod(F.hash("doc_id"), F.lit(SALT)).alias("salt")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    swept = part.repartitionByRange(partitions(lines.sparkSession), "a", "b").sortWithinPartitions("a", "b", "first")
+    return swept.groupBy("a", "b").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).filter(F.col("n_docs") >= min_docs)
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int, keep_first: bool = False) -> DataFrame:
     """doc_id, text_hash, words: for each document with lines to drop, the non-zero words of its bitmap (word -> bits)."""
-    common = common_lines(docs, min_docs)
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(line_keys(F.col("text"))).alias("line", "k")).filter("k.some")
-    lines = lines.select("doc_id", "text_hash", "line", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
-    hit = lines.join(common, ["a", "b"])
+    lines = spill(hashed_lines(docs), "lines")
+    hit = lines.filter("line >= 0").join(common_lines(lines, min_docs), ["a", "b"])
     if keep_first:
         hit = hit.withColumn("nth", F.min("line").over(Window.partitionBy("doc_id", "text_hash", "a", "b")))
-        hit = hit.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("nth"))))
+        hit = hit.filter(~(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("line") == F.col("nth"))))
     word, bit = (F.col("line") / 64).cast("int"), F.expr("shiftleft(1L, line % 64)")
     bits = hit.groupBy("doc_id", "text_hash", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     return bits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
