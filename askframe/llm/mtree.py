@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, partitions
 
 #: Vectors of a tree page; entries of a leaf; children of an inner node.
-PAGE, LEAF, FANOUT = 8192, 64, 16
+PAGE, LEAF, FANOUT = 8192, 128, 16
 #: Queries of a block.
 BLOCK = 2048
 
@@ -72,45 +72,70 @@ class Tree:
         self.nodes.append((pivot, radius, None, None, children, np.array(to)))
         return len(self.nodes) - 1
 
-    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) other than the query's own id, ties to the smaller id."""
-        if self.root < 0:
-            return []
-        q = q.astype(np.float64)
-        length = float(np.sqrt(q @ q)) * (1 + 1e-12)
-        best: list[tuple[float, int]] = []  # a heap of (score, -id): its top is the worst kept
+    def search(self, queries: np.ndarray, own: np.ndarray, best: "Best") -> None:
+        """Best-first for a block of queries: the node that promises most to any of them comes next, with those it can still serve."""
+        if self.root < 0 or self.x.shape[1] != queries.shape[1]:
+            return
+        q = queries.astype(np.float64)
+        length = np.sqrt((q * q).sum(1)) * (1 + 1e-12)
         pivot, radius, *_ = self.nodes[self.root]
-        at_root = float(self.x[pivot] @ q)
-        heap = [(-(at_root + length * radius), self.root, at_root)]
+        score = q @ self.x[pivot]
+        bound = score + length * radius
+        heap = [(-float(bound.max()), self.root, np.arange(len(q)), score, bound)] if len(q) else []
         while heap:
-            bound, node, score = heapq.heappop(heap)
-            least = best[0][0] if len(best) == k else -np.inf
-            if -bound < least - 1e-6:
-                break
+            _, node, who, score, bound = heapq.heappop(heap)
+            able = bound >= best.least[who] - 1e-6
+            if not able.any():
+                continue
+            who, score = who[able], score[able]
             pivot, radius, rows, far, children, to = self.nodes[node]
             if rows is not None:
-                able = score + length * far >= least - 1e-6
-                rows = rows[able]
-                got = self.x[rows] @ q
-                if len(got) > 4 * k:  # all ties with the k-th stay
-                    cut = np.partition(got, len(got) - k - 1)[len(got) - k - 1]
-                    rows, got = rows[got >= cut], got[got >= cut]
-                for s, i in sorted(zip(got.tolist(), self.ids[rows].tolist(), strict=True), key=lambda t: (-t[0], t[1]))[: k + 1]:
-                    if i == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+                # entries are sorted by distance: those too near the pivot for every query need no product
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.where(length[who] > 0, (best.least[who] - 1e-6 - score) / length[who], -np.inf).min()
+                skip = int(np.searchsorted(far, need - 1e-9)) if np.isfinite(need) else 0
+                rows = rows[skip:]
+                best.add(who, self.ids[rows], q[who] @ self.x[rows].T, own)
                 continue
             for child, d in zip(children, to.tolist(), strict=True):
-                if score + length * (d + self.nodes[child][1]) < least - 1e-6:  # parent distance: no product needed
+                r = self.nodes[child][1]
+                near = score + length[who] * (d + r) >= best.least[who] - 1e-6  # parent distance: no product needed for the others
+                some = who[near]
+                if not len(some):
                     continue
-                s = score if self.nodes[child][0] == pivot else float(self.x[self.nodes[child][0]] @ q)
-                up = s + length * self.nodes[child][1]
-                if up >= least - 1e-6:
-                    heapq.heappush(heap, (-up, child, s))
-        return sorted(((int(s), -i) for s, i in best), key=lambda t: (-t[0], t[1]))
+                s = score[near] if self.nodes[child][0] == pivot else q[some] @ self.x[self.nodes[child][0]]
+                up = s + length[some] * r
+                ok = up >= best.least[some] - 1e-6
+                if ok.any():
+                    heapq.heappush(heap, (-float(up[ok].max()), child, some[ok], s[ok], up[ok]))
+
+
+class Best:
+    """The k best (score, id) of each query of a block, ties to the smaller id; least: what a newcomer must reach."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.kept, self.least = k, [[] for _ in range(n)], np.full(n, -np.inf)
+
+    def add(self, who: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
+        k = self.k
+        if scores.shape[1] > k + 1:  # the k + 1 best and their ties are enough, one may be the query itself
+            cut = np.maximum(self.least[who], np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1])
+        else:
+            cut = self.least[who]
+        r, c = np.nonzero(scores >= cut[:, None])
+        for i, v, s in zip(who[r].tolist(), ids[c].tolist(), scores[r, c].tolist(), strict=True):
+            if v == own[i]:
+                continue
+            best = self.kept[i]
+            if len(best) < k:
+                heapq.heappush(best, (s, -v))
+            elif (s, -v) > best[0]:
+                heapq.heapreplace(best, (s, -v))
+            if len(best) == k:
+                self.least[i] = best[0][0]
+
+    def rows(self, own: np.ndarray) -> list[tuple[int, int, int]]:
+        return [(int(own[i]), -v, int(s)) for i, best in enumerate(self.kept) for s, v in best]
 
 
 def _packed(df: DataFrame, size: int) -> DataFrame:
@@ -168,16 +193,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 page, block = page.as_py(), block.as_py()
                 if page != last:
                     last, tree = page, Tree(*_unblob(page))
-                ids, q = _unblob(block)
-                if tree.x.shape[1] != q.shape[1]:
-                    continue
-                got = [(i, v, s) for i, x in zip(ids.tolist(), q, strict=True) for s, v in tree.search(x, i, k)]
+                own, q = _unblob(block)
+                best = Best(len(own), k)
+                tree.search(q, own, best)
+                got = best.rows(own)
                 yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in range(3)], schema=out)
 
     # A grid: pages are copied along the query blocks and query blocks along the shares of pages, so each cell has a bounded part of both.
     shares = min(dealt, n)
     spread = trees.withColumn("s", F.pmod(F.xxhash64("blob"), F.lit(shares))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     asked = asked.withColumnRenamed("blob", "block").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    met = spread.join(asked, ["s", "b"]).select("blob", "block").mapInArrow(search, schema)
+    cells = shares * blocks
+    met = spread.repartition(cells, "s", "b").join(asked.repartition(cells, "s", "b"), ["s", "b"]).select("blob", "block").mapInArrow(search, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
