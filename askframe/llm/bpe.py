@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import arrow_schema
 
 #: Pieces that a worker process remembers, about 300 bytes each; when full, it forgets them all and goes on.
-CACHE = 1_000_000
+CACHE = 600_000
 #: Pieces that go to one recursive query: bounds the database's memory.
-AT_ONCE = 50_000
-MEMORY = "400MB"
+AT_ONCE = 20_000
+MEMORY = "200MB"
 
 #: Contractions that one recursive query makes in a piece, at most; a piece with more goes on in the next query.
 ROUNDS = 64
