@@ -76,22 +76,22 @@ def bands_of(h: np.ndarray) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, k: int, bands: bool = False) -> DataFrame:
-    """doc_id, fp (signed long with the fingerprint's bits) and, if asked for, bands."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long" + ", bands array<long>" * bands
+    """doc_id, th (hash of the text), fp (signed long with the fingerprint's bits) and, if asked for, bands."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long" + ", bands array<long>" * bands
     out = arrow_schema(docs.sparkSession, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, keys = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, k)
                 fps.append(fingerprint(h))
                 if bands:
                     keys.append(bands_of(np.unique(h)))
-            cols = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(keys, pa.list_(pa.int64()))] * bands, schema=out)
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(work, schema)
 
 
 def _blocks(width: int, parts: int) -> list[tuple[int, int]]:
@@ -165,8 +165,8 @@ def join_groups(rows: DataFrame, radius: int, full: int = 0) -> DataFrame:
 def _similar(links: DataFrame, docs: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
     """The links whose fingerprints' first documents have a shingle similarity of at least ``least``."""
     ids = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    first = prints.join(ids, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(first, "doc_id").select("fp", "text")
+    first = prints.join(ids, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("fp", F.col("d.doc_id").alias("_id"), F.col("d.th").alias("_th"))
+    texts = docs.select("doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))).select("fp", "text")
     out = arrow_schema(docs.sparkSession, "fp long, s array<long>")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

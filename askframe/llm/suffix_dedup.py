@@ -32,7 +32,7 @@ LENGTH, KMER = 100, 32
 SHALLOW = 32
 #: Distinct segments of a minimizer above which it is cut into stripes of so many windows.
 CUT_ABOVE, STRIPE = 512, 8
-#: Bytes of a text that numpy works on at once.
+#: Bytes of a text that numpy works on at once; a power of two.
 PIECE = 1 << 20
 
 _RANDOM = np.random.default_rng(11)
