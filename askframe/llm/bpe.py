@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema
 
-#: Pieces that a worker process remembers, about 300 bytes each; when full, it forgets them all and goes on.
-CACHE = 600_000
+#: Pieces of a cache generation, about 300 bytes each; a worker process keeps two.
+CACHE = 350_000
 #: Pieces that go to one recursive query: bounds the database's memory.
 AT_ONCE = 20_000
 MEMORY = "200MB"
@@ -103,8 +103,26 @@ def load_ranks(lines: Iterator[bytes]) -> dict[bytes, int]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
-#: Pieces already encoded, by vocabulary; a worker process that runs several tasks keeps them.
-_KNOWN: dict[str, dict[str, tuple[bytes, bytes]]] = {}
+class Cache:
+    """Pieces already encoded, in two generations: what is still in use moves on when the younger is full, the rest goes."""
+
+    def __init__(self):
+        self.new: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+
+    def hold(self, pieces: set[str], encoder: Encoder) -> dict[str, tuple[bytes, bytes]]:
+        """A dict that has all the pieces."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        missing = pieces.difference(self.new)
+        self.new.update((p, self.old[p]) for p in missing.intersection(self.old))
+        todo = list(missing.difference(self.old))
+        self.new.update(zip(todo, encoder.encode([p.encode("utf-8", "surrogatepass") for p in todo]), strict=True))
+        return self.new
+
+
+#: By vocabulary; a worker process that runs several tasks keeps them.
+_KNOWN: dict[str, Cache] = {}
 
 
 def _encoder(path: str) -> Encoder:
@@ -115,18 +133,13 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_texts(texts: list[str | None], split: Callable[[str], list[str]], encoder: Encoder, cache: dict[str, tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+def encode_texts(texts: list[str | None], split: Callable[[str], list[str]], encoder: Encoder, cache: Cache) -> list[tuple[bytes, bytes]]:
     """Ids (4 bytes each) and decoded bytes of each text; the texts' new pieces are encoded together."""
     cut = [split(t) if t else [] for t in texts]
-    seen = set().union(*cut)
-    todo = list(seen.difference(cache))
-    if len(cache) + len(todo) > CACHE:
-        cache.clear()
-        todo = list(seen)
-    cache.update(zip(todo, encoder.encode([p.encode("utf-8", "surrogatepass") for p in todo]), strict=True))
+    known = cache.hold(set().union(*cut), encoder)
     out = []
     for pieces in cut:
-        ids, decoded = zip(*map(cache.__getitem__, pieces)) if pieces else ((), ())
+        ids, decoded = zip(*map(known.__getitem__, pieces)) if pieces else ((), ())
         out.append((b"".join(ids), b"".join(decoded)))
     return out
 
@@ -155,7 +168,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     out = arrow_schema(docs.sparkSession, schema)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, cache = regex.compile(pattern).findall, _KNOWN.setdefault(ranks_path, {})
+        split, cache = regex.compile(pattern).findall, _KNOWN.setdefault(ranks_path, Cache())
         encoder = _encoder(ranks_path)
         for batch in batches:
             at = 0

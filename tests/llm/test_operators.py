@@ -424,8 +424,10 @@ def test_bpe_small_cache(monkeypatch):
     monkeypatch.setattr(bpe, "ROUNDS", 2)
     encoder = bpe._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     texts = [prose(10, 1), prose(10, 2), None]
-    got = bpe.encode_texts(texts, regex.compile(public_tokenizers.PATTERN).findall, encoder, {})
-    assert [d.decode() for _, d in got] == [t or "" for t in texts]
+    cache = bpe.Cache()
+    for _ in range(3):
+        got = bpe.encode_texts(texts, regex.compile(public_tokenizers.PATTERN).findall, encoder, cache)
+        assert [d.decode() for _, d in got] == [t or "" for t in texts]
 
 
 # --- licences ---
