@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Row
 from .analyze import PlanError
 
 
+#: What Spark says of relations whose size it doesn't know.
+UNKNOWN = (1 << 63) - 1
+
+
 class TooCostly(PlanError):
     """The plan reads, or multiplies, more than is allowed."""
 
@@ -19,12 +23,12 @@ class TimedOut(PlanError):
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the largest relation that the plan reads."""
+    """The optimizer's estimate of the largest relation that the plan reads; relations without an estimate count as 0."""
 
     def walk(node) -> int:
         kids = node.children()
         own = [walk(kids.apply(i)) for i in range(kids.size())]
-        return max(own) if own else int(str(node.stats().sizeInBytes()))
+        return max(own) if own else int(str(node.stats().sizeInBytes())) % UNKNOWN
 
     return walk(df._jdf.queryExecution().optimizedPlan())
 
