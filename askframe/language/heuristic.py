@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
+from .details import METRICS, TEXT_CUES, spoken
 from .lexicon import alike, content, humanize, stem, tokens
 from .oracle import Answer, Question, Questions, normalized
 
@@ -29,8 +31,11 @@ FLAG_CUES = {
     "compare_year": r"\b(same (period|time) last year|compared (to|with) last year|vs\.? last year|versus last year|year[- ]on[- ]year|yoy)\b",
     "snapshot": r"\b(current|currently|latest|right now|in stock)\b",
     "deleted": r"\b(including deleted|deleted|all ever|ever)\b",
+    "newest": r"\b(most recent|latest|newest|oldest|earliest)\b",
     "latest_each": r"\b(latest|most recent|last|newest) \w+ (of|for|per|by) (each|every)\b|\beach \w+'s (latest|last|most recent)\b",
 }
+# Column names that say little without their table.
+GENERIC = frozenset("value amount total price number count cost".split())
 _COUNT = r"\b(how many|number of|count of|count|fewest|most)\b"
 _LOW = r"\b(lowest|fewest|least|smallest|cheapest|bottom|ascending|oldest|earliest|worst)\b"
 
@@ -59,11 +64,14 @@ class HeuristicOracle:
         """How well the request names a table or column: share of its words, 0 to 1; run-together names count by parts."""
         said = [stem(w) for w in content(r)]
         wide = {s for w in content(r) for s in alike(w)}
+        joined = {a + b for a, b in itertools.pairwise(content(r))}
         best = 0.0
         for form in (name, *synonyms):
             words = [stem(w) for w in humanize(form.rpartition(".")[2]).split() if w not in ("id", "at", "on")]
             if not words:
                 continue
+            if humanize(form.rpartition(".")[2]) in joined:  # a name that is run together
+                return 1.0
             hits = 0.0
             for w in words:
                 if w in said:
@@ -76,12 +84,14 @@ class HeuristicOracle:
         return best
 
     def _shape(self, _, q, r, state):
-        low, w = r.lower(), dict.fromkeys(q.options, 0.0)
+        low, w = re.sub(r"\bmost (?=recent|expensive)", "", r.lower()), dict.fromkeys(q.options, 0.0)
         w["trend"] += 3.5 * any(re.search(p, low) for p in GRAIN_CUES.values()) + 3 * ("over time" in low or "trend" in low)
         w["ranking"] += 2.5 * bool(re.search(r"\b(top|bottom|best|worst|most|fewest|highest|lowest|largest)\b", low))
         w["breakdown"] += 2 * bool(re.search(r"\b(by|per|for each|in each|each)\b", low))
         w["single_value"] += 1.5 * bool(re.search(r"^(how many|how much|what (is|was|were) the|number of|total|average|count)\b", low))
         w["lookup"] += 2 * bool(re.search(r"^(list|show|find|which|who|give me|display)\b", low)) - 1.5 * bool(re.search(_COUNT, low)) - 1.5 * any(re.search(p, low) for p in AGG_CUES.values())
+        w["lookup"] += 2 * bool(re.match(r"\s*(please )?list\b", low))
+        w["lookup"] += 3 * bool(re.search(FLAG_CUES["latest_each"], low))
         if any(re.search(p, low) for p in DERIVED_CUES.values()):
             w["breakdown"] += 1.5
         elif not re.search(_COUNT, low) and not any(re.search(p, low) for p in AGG_CUES.values()) and max(w.values()) <= 2:
@@ -111,17 +121,19 @@ class HeuristicOracle:
                 w[o] = 1.0 - 1.5 * counting
             elif kind == "count":
                 head = re.search(r"\b(?:how many|number of|count of|count|fewest|most)\s+(?:\w+\s+)?(\w+)", low)
-                w[o] = (1.2 if counting else -0.5) + 1.5 * self.mention(r, what) + 1.5 * bool(head and stem(humanize(what)) in (stem(head[1]), stem(head[0].split()[2] if len(head[0].split()) > 2 else "")))
+                w[o] = (1.2 if counting else -0.5) + 1.5 * self.mention(r, what) + 1.5 * bool(head and stem(humanize(what)) in (stem(head[1]), *(stem(x) for x in head[0].split()[2:3] if not x.endswith(("ed", "ing")))))
             elif kind == "duration":
                 w[o] = 4 * bool(re.search(r"\b(how long|time (to|from|between)|duration|days? to)\b", low)) + self.mention(r, what)
             else:
                 table = what.rpartition(".")[0]
                 money = o in state.get("money", ())
                 w[o] = 2.2 * self.mention(r, what) + 0.7 * self.mention(r, table) + (1.2 if money and re.search(r"\b(revenue|sales|value|spend|spent|worth|amount|turnover)\b", low) else 0) - (0.7 if counting else 0)
+                if humanize(what.rpartition(".")[2]) in GENERIC and not self.mention(r, table):
+                    w[o] -= 1.5  # "order value" is no other table's value
         return sharp(w, 0.45)
 
     def _agg(self, _, q, r, state):
-        low = r.lower()
+        low = re.sub(r"\b(moving|rolling) average\b", "", r.lower())
         w = {o: 2.5 * bool(re.search(AGG_CUES.get(o, r"(?!)"), low)) for o in q.options}
         if "sum" in w and not any(w.values()):
             w["sum"] = 1.5
@@ -137,6 +149,8 @@ class HeuristicOracle:
         for m in re.finditer(r"\b(?:by|per|for each|in each|of each|for every|each|across|split by|broken down by|and(?= \w+$))\s+((?:[\w-]+\s?){1,4})", r.lower()):
             words = re.split(r"\b(?:in|for|during|last|this|since|with|where|over|from|who|that|including|even|as|placed|and|this)\b", m[1])[0].split()
             head = [stem(w) for w in words]
+            if "".join(words) == humanize(column):  # a name that is run together
+                best = max(best, 0.95)
             if not head:
                 continue
             if not column:  # an entity
@@ -152,7 +166,9 @@ class HeuristicOracle:
                 best = max(best, 0.85)
             elif column in state.get("display", {}).get(table, ()) and head and set(alike(head[-1])) & set(near) and len(head) <= 2:
                 best = max(best, 0.9)
-        ranked = re.search(r"\b(?:top|bottom)\s+(?:\d+\s+)?(\w+)|\bwhich\s+(\w+)\s+(?:has|have|had|placed|generated)\b|\b(\w+) with the (?:most|fewest|highest|lowest)", r.lower())
+        ranked = re.search(r"\b(?:top|bottom)\s+(?:\d+\s+)?(\w+)|\brank\s+(?:the\s+)?(\w+)\s+by\b|\bwhich\s+(\w+)\s+(?:has|have|had|placed|generated)\b|\b(\w+) with the (?:most|fewest|highest|lowest)", r.lower())
+        if ranked and column not in state.get("display", {}).get(table, ()) and stem(next(g for g in ranked.groups() if g)) == stem(humanize(column)):
+            best = max(best, 0.9)
         if ranked and column in state.get("display", {}).get(table, ()) and stem(next(g for g in ranked.groups() if g)) in {stem(humanize(table)), *alike(humanize(table))}:
             best = max(best, 0.9)
         return yes(best)
@@ -162,15 +178,15 @@ class HeuristicOracle:
 
     def _polarity(self, about, q, r, state):
         at = int(about.split("@")[1])
-        before = r[max(0, at - 25) : at].lower()
-        p = 0.95 if re.search(r"\b(not|excluding|except|without|other than|outside|non|exclude)\W*(?:in|from|for|the|status)?\W*$", before) else 0.05
+        before = r[max(0, at - 80) : at].lower()
+        p = 0.95 if re.search(r"\b(not|excluding|except|without|other than|outside|non|exclude)\W*(?:in|from|for|the|status)?\W*(?:[\w#&-]+\s*(?:,|\band\b|\bor\b)\s*(?:and\s+|or\s+)?)*$", before) else 0.05
         return {"exclude": p, "keep": 1 - p}
 
     def _number(self, about, q, r, state):
         a, z = map(int, about.split("@")[1].split("-"))
-        before, after = r[max(0, a - 25) : a].lower(), r[z : z + 25].lower()
+        before, after = r[max(0, a - 25) : a].lower(), re.sub(r"^\s*and\s+[\d,.]+", "", r[z : z + 30].lower())
         w = dict.fromkeys(q.options, 0.0)
-        w["limit"] += 4 * bool(re.search(r"\b(top|first|bottom|best|worst|last|largest|highest)\s*$", before))
+        w["limit"] += 4 * bool(re.search(r"\b(top|first|bottom|best|worst|last|largest|highest)\s*$", before) or re.match(r"\s*(most recent|latest|newest|oldest|earliest|largest|biggest|smallest|cheapest|highest|lowest)\b", after))
         over = bool(re.search(r"\b(over|more than|at least|above|under|below|less than|fewer than|at most|exactly|greater than|exceed\w*|minimum|between|and)\W*$", before))
         counted = any(stem(t) in state.get("tables", ()) for t in tokens(after)[:2])
         w["having"] += 3.5 * (over and counted)
@@ -225,3 +241,56 @@ class HeuristicOracle:
 
     def _followup(self, _, q, r, state):
         return yes(0.9 if re.match(r"\s*(and|now|what about|how about|only|just|same|but|instead|also)\b", r.lower()) else 0.05)
+
+    def _also(self, about, q, r, state):
+        return self._quantity(about, q, r, state)
+
+    def _alsoagg(self, about, q, r, state):
+        return self._agg(about, q, r, state)
+
+    def _show(self, about, q, r, state):
+        table, _, column = about.rpartition(".")
+        m = re.match(r"\s*(?:please\s+)?(?:list|show|display|give|find|get)\s+(?:me\s+)?(?:the\s+)?(.+?)\s+(?:of|for)\s+(?:all\s+|each\s+|the\s+|every\s+)*(\w+)", r.lower())
+        if not m or stem(m[2]) not in {stem(humanize(table)), *alike(humanize(table))}:
+            return yes(0.02)
+        items = re.split(r",\s*(?:and\s+)?|\s+and\s+", m[1])
+        return yes(0.93 if any(re.fullmatch(rf"(?:the |distinct |unique |different )*(?:{spoken(about, state.get('synonyms', {}).get(about, ()))})s?", i.strip()) for i in items) else 0.02)
+
+    def _null(self, about, q, r, state):
+        what = spoken(about, state.get("synonyms", {}).get(about, ()))
+        gone = r"no|without(?: an?| any| the)?|missing(?: an?| the)?|lacking(?: an?)?|blank|null|empty|unknown"
+        return yes(0.93 if re.search(rf"\b(?:{gone})\s+(?:{what})\b|\b(?:{what})\s+(?:is|are)?\s*(?:missing|null|blank|empty|unknown|not set)\b", r.lower()) else 0.03)
+
+    def _bool(self, about, q, r, state):
+        word = re.sub(r"^(is|has|was) ", "", humanize(about.rpartition(".")[2]))
+        if re.search(rf"\b(?:by|per) (?:\w+ )?{re.escape(word)}\b", r.lower()):
+            return sharp({o: 4.0 * (o == "none") for o in q.options})
+        off = bool(re.search(rf"\b(?:not|non|isn't|aren't|in|un)[- ]?(?:been )?{re.escape(word)}\b", r.lower()))
+        on = bool(re.search(rf"\b{re.escape(word)}\b", r.lower())) and not off
+        return sharp({o: {"yes": 4.0 * on, "no": 4.0 * off, "none": 1.0}[o] for o in q.options})
+
+    def _textmode(self, about, q, r, state):
+        before = r[: int(about.split("@")[1])].lower()
+        return sharp({o: 4.0 * bool(re.search(TEXT_CUES.get(o, r"(?!)") + r"\W*$", before)) + (o == "exact") for o in q.options})
+
+    def _textcol(self, about, q, r, state):
+        at = int(about.split("@")[1])
+        near = r[max(0, at - 45) : at]
+
+        def weight(ref: str) -> float:
+            table, _, column = ref.rpartition(".")
+            return 2 * self.mention(near, ref) + 1.5 * self.mention(r, table) + 0.8 * (column in state.get("display", {}).get(table, ()))
+
+        return sharp({o: weight(o) for o in q.options}, 0.4)
+
+    def _definition(self, about, q, r, state):
+        said = set(map(stem, content(r)))
+        return yes(0.93 if any(set(map(stem, content(n))) <= said and content(n) for n in state.get("names", ())) else 0.05)
+
+    def _term(self, about, q, r, state):
+        return yes(0.9 if about in METRICS else 0.04)
+
+    def _partition(self, _, q, r, state):
+        m = re.search(r"\b(?:in|within|for|of|per) (?:each|every) (\w+)|\bper (\w+)", r.lower())
+        head = stem(next(g for g in m.groups() if g)) if m else ""
+        return sharp({o: 4.0 * (head in {stem(w) for w in humanize(o).split()}) + 0.5 * (i == 0) for i, o in enumerate(q.options)})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import like_escape
 from ..sources.model import SchemaModel
-from .lexicon import alike, aliases, content, humanize, stem
+from .lexicon import alike, aliases, content, humanize, singular, stem
 from .spans import Span
 
 K1, B = 1.2, 0.75
@@ -30,14 +30,14 @@ class ValueLink:
 def link_values(request: str, spans: list[Span], model: SchemaModel, frames: dict[str, DataFrame] | None = None) -> list[ValueLink]:
     """Known values that the request names, longest first; names still free are searched in the tables, in one job."""
     low, found = request.lower(), []
-    names = {s for t in model.tables for s in (t.lower(), humanize(t))} | {stem(t) for t in model.tables}
+    names = {s for t in model.tables for s in (t.lower(), humanize(t))} | {singular(humanize(t)) for t in model.tables}
     for t in model.tables.values():
         for c in t.columns.values():
             if t.hidden or c.hidden or not c.values or not (c.searchable or c.role == "dimension_categorical"):
                 continue
             for v in c.values:
                 for form in aliases(str(v)):
-                    if not form or stem(form) in names:
+                    if not form or form in names or singular(form) in names:
                         continue
                     pattern = rf"(?<!\w){re.escape(form)}(?:s|es)?(?!\w)"
                     for m in re.finditer(pattern, low):
@@ -48,7 +48,7 @@ def link_values(request: str, spans: list[Span], model: SchemaModel, frames: dic
     for x in sorted(found, key=lambda x: (x.start - x.end, -x.score, x.column)):
         if all(x.end <= y.start or x.start >= y.end or (x.start, x.end) == (y.start, y.end) for y in kept):
             kept.append(x)
-    free = [s for s in spans if s.kind in ("name", "quoted") and all(s.end <= y.start or s.start >= y.end for y in kept) and stem(str(s.value)) not in names]
+    free = [s for s in spans if s.kind in ("name", "quoted") and all(s.end <= y.start or s.start >= y.end for y in kept) and singular(str(s.value).lower()) not in names]
     return kept + (search_values(free, model, frames) if free and frames else [])
 
 

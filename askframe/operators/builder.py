@@ -298,7 +298,7 @@ class Builder:
     def _finish(self, plan: QueryPlan, df: DataFrame, columns: list[OutputColumn]) -> tuple[DataFrame, list[OutputColumn]]:
         dims = [c.name for c in columns if c.role == "dimension"]
         if plan.having:
-            c, v = F.col(plan.having.measure.alias), [F.lit(x) for x in plan.having.values]
+            c, v = F.col(self._sorted_by(plan, plan.having.measure.alias)), [F.lit(x) for x in plan.having.values]
             op = {"eq": "__eq__", "gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}.get(plan.having.op)
             df = df.filter(c.between(*v) if plan.having.op == "between" else getattr(c, op)(v[0]))
         if plan.per_group:
@@ -310,12 +310,29 @@ class Builder:
         if plan.derived:
             df, extra = self._derived(plan, df, columns)
             columns = [*columns, extra]
-        hidden = {m.alias for m in all_measures(plan) if m.hidden}
+        hidden = {m.alias for m in all_measures(plan) if m.hidden} | self._implied(plan)
         keep = [c for c in columns if c.name not in hidden]
         return df.select(*(c.name for c in keep)), keep
 
+    def _implied(self, plan: QueryPlan) -> set[str]:
+        """Keys of entities whose one display column tells the rows apart: grouped by, but not shown."""
+        out: set[str] = set()
+        for d in plan.dimensions:
+            t = self.model.tables[d.table] if d.kind == "entity" else None
+            if t and len(t.display) == 1:
+                c = t.columns[t.display[0]]
+                if c.unique or (t.rows and (c.n_distinct or 0) >= 0.98 * t.rows):
+                    out |= set(t.pk) - {c.name}
+        return out
+
+    @staticmethod
+    def _sorted_by(plan: QueryPlan, name: str) -> str:
+        """A measure compared over two periods goes by the current one."""
+        return f"{name}_current" if plan.compare and any(m.alias == name for m in all_measures(plan)) else name
+
     def _direction(self, plan: QueryPlan) -> list:
-        return [F.col(o.by).desc_nulls_last() if o.descending else F.col(o.by).asc_nulls_last() for o in plan.order]
+        by = [(F.col(self._sorted_by(plan, o.by)), o.descending) for o in plan.order]
+        return [c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in by]
 
     def _ordered(self, plan: QueryPlan, df: DataFrame, columns: list[OutputColumn]) -> DataFrame:
         """The plan's order, else time for trends and the first measure descending; dimensions break ties."""
@@ -371,10 +388,16 @@ class Builder:
         names = [*t.pk, *(c.name for c in t.columns.values() if c.unique and c.searchable), *t.display, t.default_time, first]
         return [f"{table}.{n}" for n in dict.fromkeys(n for n in names if n) if not t.columns[n].pii and not t.columns[n].hidden]
 
+    @staticmethod
+    def _shown(c: Column, column) -> Column:
+        """Money in display units."""
+        divisor = column.unit.divisor if column.unit else 1
+        return F.round(c.cast("double") / divisor, 2) if divisor != 1 else c
+
     def _lookup(self, plan: QueryPlan) -> tuple[DataFrame, list[OutputColumn]]:
         root = plan.subject or split_ref(plan.projections[0])[0]
         s = Scope(self, root, plan)
-        wanted = plan.projections or self.default_projections(root)
+        wanted = list(dict.fromkeys(plan.projections or self.default_projections(root)))
         names, seen = {}, set()
         for ref in wanted:
             table, name = split_ref(ref)
@@ -394,7 +417,7 @@ class Builder:
             w = Window.partitionBy(s.col(part)).orderBy(c.desc_nulls_last() if desc else c.asc_nulls_last(), *pk)
             s.df = s.df.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
         limit = min(plan.limit or self.settings.lookup_rows, self.settings.max_rows)
-        out = [c.alias(n) for n, c in cols.items()]
+        out = [self._shown(c, self.model.column(ref)).alias(n) for (n, c), ref in zip(cols.items(), wanted, strict=True)]
         if plan.distinct:
             df = s.df.select(*out).distinct().orderBy(*(F.col(n).asc_nulls_last() for n in cols)).limit(limit)
         else:

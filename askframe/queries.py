@@ -1,19 +1,23 @@
-"""Registered plans over the star-schema tables, each with the SQL that says the same.
+"""Registered plans and requests over the star-schema tables, each with the SQL that says the same.
 
 Dates are fixed: orders and line items as of Monday 2001-07-16, events as of 2024-01-29.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.periods import Clock, Parts, PeriodSpec, period_bounds, shift_years
+from .language.composer import Composer
+from .operators.analyze import PlanError
 from .operators.builder import Builder
 from .plans.types import Dimension, Existence, Having, Measure, Order, Period, Predicate, QueryPlan
 from .sources.model import ColumnModel, Relationship, TableModel
+from .sources.profile import profile
 from .sources.tpch import tpch_frames, tpch_model
 
 CLOCK = Clock(datetime(2001, 7, 16))
@@ -219,10 +223,63 @@ def brand_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TREE = "WITH RECURSIVE d(id) AS (SELECT 5 UNION SELECT p_size FROM part JOIN d ON p_size // 2 = id AND p_size > 1) SELECT p_brand, count(*) AS n FROM part WHERE p_size IN (SELECT id FROM d) GROUP BY 1"
 
 
+@functools.lru_cache(maxsize=4)
+def _composer(application: str, sf_dir: str) -> Composer:
+    """Profiled once for each application and folder; the profile is what words are matched with."""
+    b = engine(SparkSession.getActiveSession(), sf_dir)
+    for name, table in b.model.tables.items():
+        profile(b.frames[name], table)
+    return Composer(b.model, b.frames, CLOCK)
+
+
+def asked(spark: SparkSession, sf_dir: str, request: str, answers: tuple[str, ...] = ()) -> DataFrame:
+    """A request in words, with the answers to what is asked back, as a DataFrame."""
+    c = _composer(spark.sparkContext.applicationId, sf_dir)
+    r = c.compose(request)
+    for a in answers:
+        r = c.answer(r.clarification.id, a)
+    if r.outcome != "execute":
+        raise PlanError(f"{request}: {r.outcome} {r.reason or r.clarification.question}")
+    return c.builder.build(r.plan)
+
+
+_YEAR = "o_orderdate >= '2001-01-01' AND o_orderdate < '2001-07-16'"
+_NATION = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+_MONTHS = f"SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, sum({D})::DOUBLE AS sum_o_totalprice FROM orders WHERE {_YEAR} GROUP BY 1"
+
+#: name -> (request, answers, SQL)
+REQUESTS: dict[str, tuple[str, tuple[str, ...], str]] = {
+    "ask_count": ("How many orders were placed last month?", (), _n("o_orderdate >= '2001-06-01' AND o_orderdate < '2001-07-01'")),
+    "ask_two_measures": ("Number of orders and total order value by nation last quarter", (), f"SELECT n_name, count(*) AS n, sum({D})::DOUBLE AS sum_o_totalprice FROM {_NATION} WHERE o_orderdate >= '2001-04-01' AND o_orderdate < '2001-07-01' GROUP BY 1"),
+    "ask_two_aggregates": ("Average quantity and total quantity by return flag", (), "SELECT l_returnflag, round(sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(l_quantity), 2) AS avg_l_quantity, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_l_quantity FROM lineitem GROUP BY 1"),
+    "ask_columns": ("List the name and size of parts in Brand#12", (), "SELECT p_name, p_size FROM part WHERE p_brand = 'Brand#12' ORDER BY p_partkey LIMIT 1000"),
+    "ask_distinct": ("List the distinct status of orders", (), "SELECT DISTINCT o_orderstatus FROM orders"),
+    "ask_contains": ('How many parts have a name containing "widget"?', (), _n("p_name ILIKE '%widget%'", "part")),
+    "ask_starts_with": ('How many parts have a name starting with "red"?', (), _n("p_name ILIKE 'red%'", "part")),
+    "ask_between": ("Number of parts with size between 5 and 15", (), _n("p_size BETWEEN 5 AND 15", "part")),
+    "ask_missing": ("How many orders have no order date?", (), _n("o_orderdate IS NULL")),
+    "ask_excluded": ("How many parts are not in Brand#12 and Brand#13?", (), _n("p_brand NOT IN ('Brand#12', 'Brand#13')", "part")),
+    "ask_recent": ("List the 20 most recent orders over $400,000", (), "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_totalprice > 400000 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20"),
+    "ask_largest_rows": ("Top 10 orders by total price", (), "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    "ask_top_in_each": ("Top 2 brands by number of parts in each type", (), "SELECT p_type, p_brand, n FROM (SELECT p_type, p_brand, count(*) AS n, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1, 2) WHERE r <= 2"),
+    "ask_having_between": ("Which customers have between 5 and 8 orders in 2000?", (), "SELECT c_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '2000-01-01' AND o_orderdate < '2001-01-01' GROUP BY c_custkey, c_name HAVING count(*) BETWEEN 5 AND 8"),
+    "ask_absent": ("How many customers have no orders in 2001?", (), _n("NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= '2001-01-01' AND o_orderdate < '2002-01-01')", "customer")),
+    "ask_compare": ("Total order value this year compared to last year by status", (), f"SELECT o_orderstatus, sum({D}) FILTER ({_YEAR})::DOUBLE AS sum_o_totalprice_current, sum({D}) FILTER (o_orderdate >= '2000-01-01' AND o_orderdate < '2000-07-16')::DOUBLE AS sum_o_totalprice_previous FROM orders WHERE ({_YEAR}) OR (o_orderdate >= '2000-01-01' AND o_orderdate < '2000-07-16') GROUP BY 1"),
+    "ask_moving_average": ("Moving average of order value by month this year", (), f"SELECT *, round(avg(sum_o_totalprice) OVER (ORDER BY month ROWS 2 PRECEDING), 2) AS moving_avg_3 FROM ({_MONTHS})"),
+    "ask_rank": ("Rank nations by total order value", (), f"SELECT *, rank() OVER (ORDER BY sum_o_totalprice DESC) AS rank FROM (SELECT n_name, sum({D})::DOUBLE AS sum_o_totalprice FROM {_NATION} GROUP BY 1)"),
+    "ask_fewest": ("Which brand has the fewest orders?", (), "SELECT p_brand, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n, p_brand LIMIT 1"),
+    "ask_median": ("Median total price by priority", (), "SELECT o_orderpriority, round(median(o_totalprice), 2) AS median_o_totalprice FROM orders GROUP BY 1"),
+    "ask_business_term": ("Total revenue by priority", ("column:orders.o_totalprice",), f"SELECT o_orderpriority, sum({D})::DOUBLE AS sum_o_totalprice FROM orders GROUP BY 1"),
+    "ask_fan_out": ("Total order value by brand", ("column:lineitem.l_extendedprice",), "SELECT p_brand, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS sum_l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"),
+    "ask_latest_each": ("List the latest order of each customer", (), "SELECT o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, plan=plan: engine(spark, sf_dir).build(plan)) for name, (plan, _) in PLANS.items()}
-    return out | {"hierarchy_descendants": brand_hierarchy}
+    spoken = {name: (lambda spark, sf_dir, r=r, a=a: asked(spark, sf_dir, r, a)) for name, (r, a, _) in REQUESTS.items()}
+    return out | spoken | {"hierarchy_descendants": brand_hierarchy}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in PLANS.items()} | {"hierarchy_descendants": _TREE}
+    return {name: sql for name, (_, sql) in PLANS.items()} | {name: sql for name, (_, _, sql) in REQUESTS.items()} | {"hierarchy_descendants": _TREE}

@@ -28,9 +28,11 @@ def profile(df: DataFrame, table: TableModel) -> None:
     for i, c in enumerate(cols):
         n = got["n"] or 1
         c.null_share, c.n_distinct, c.width, c.low, c.high = 1 - got[f"c{i}"] / n, got[f"d{i}"], got[f"w{i}"], got[f"a{i}"], got[f"z{i}"]
-    for c in cols:
-        if c.kind in ("text", "enum") and (c.n_distinct or 0) <= MOST_VALUES and (c.width or 0) <= VALUE_WIDTH:
-            c.values = sorted(r[0] for r in some.select(c.name).filter(F.col(c.name).isNotNull()).distinct().limit(MOST_VALUES + 50).collect())
+    short = [c for c in cols if c.kind in ("text", "enum") and (c.n_distinct or 0) <= MOST_VALUES and (c.width or 0) <= VALUE_WIDTH]
+    if short:  # sets of few values each, so one job takes them all
+        got = some.agg(*(F.collect_set(f"`{c.name}`").alias(f"v{i}") for i, c in enumerate(short))).first()
+        for i, c in enumerate(short):
+            c.values = sorted(got[f"v{i}"])
 
 
 def ordered_share(df: DataFrame, start: str, end: str, rows: int = 500) -> float | None:

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from askframe import queries
 from askframe.functions.periods import Clock, Parts, PeriodSpec, instant, period_bounds, shift_years
 from askframe.language.composer import Composer
+from askframe.language.details import between_pairs, measure_clauses, text_matches
 from askframe.language.harness import Case, check, matches
 from askframe.language.heuristic import HeuristicOracle
 from askframe.language.lexicon import plural, singular, snake, stem
@@ -18,6 +19,7 @@ from askframe.language.oracle import CachingOracle, HttpOracle, LogprobOracle, Q
 from askframe.language.saved import FolderStore
 from askframe.language.spans import extract_spans
 from askframe.plans.decode import assign_spans, assignment, joint_decode
+from askframe.plans.types import Measure, Predicate
 from askframe.plans.describe import narrate, signature
 from askframe.sources.conventions import Config, build_model
 from askframe.sources.doctor import doctor
@@ -231,3 +233,66 @@ def test_star_schema_keys_are_inferred(spark, sf_dir):
     keys = {t: (k,) for t, k in {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}.items()}
     found = {r.id for r in build_model(frames, Config(keys=keys), scan=False).relationships}
     assert {"orders.o_custkey->customer", "lineitem.l_orderkey->orders", "lineitem.l_partkey->part", "lineitem.l_suppkey->supplier", "nation.n_regionkey->region", "customer.c_nationkey->nation"} <= found
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    """A status that is also a table, a flag, missing times, cents."""
+    t = datetime
+    orders = [(1, "delivered", 1250, True, t(2026, 8, 1), t(2026, 9, 3)), (2, "refunded", 990, False, t(2026, 8, 2), t(2026, 9, 4)), (3, "pending", 5000, None, t(2026, 9, 9), None), (4, "delivered", 700, True, t(2026, 9, 1), t(2026, 10, 1))]
+    frames = {
+        "orders": spark.createDataFrame(orders, "id int, status string, total_cents int, is_gift boolean, placed_at timestamp_ntz, delivered_at timestamp_ntz"),
+        "refunds": spark.createDataFrame([(1, 1, 300, t(2026, 9, 8)), (2, 2, 990, t(2026, 9, 9))], "id int, order_id int, amount_cents int, refunded_at timestamp_ntz"),
+    }
+    values = {"orders.status": ["pending", "delivered", "refunded"]}
+    return Composer(build_model(frames, Config(values=values)), frames, NOW)
+
+
+@pytest.mark.parametrize(
+    "request_, expected",
+    [
+        ("How many orders are gift orders?", [(2,)]),
+        ("How many non-gift orders?", [(2,)]),
+        ("How many orders have a missing delivered at?", [(1,)]),
+        ("How many orders were delivered in September?", [(2,)]),
+        ("List the status and total of orders", [("delivered", 12.5), ("refunded", 9.9), ("pending", 50.0), ("delivered", 7.0)]),
+    ],
+)
+def test_details(shop, request_, expected):
+    r, rows = shop.ask(request_)
+    assert r.outcome == "execute", (r.reason, r.clarification)
+    assert [tuple(x) for x in rows] == expected, r.narrative
+
+
+def test_status_or_rows(shop):
+    r = shop.compose("How many refunded orders?")
+    assert r.outcome == "clarify" and r.clarification.options == ["status", "related"]
+    assert [[tuple(x) for x in shop.execute(shop.answer(r.clarification.id, o))] for o in ("status", "related")] == [[(1,)], [(2,)]]
+
+
+def test_definitions(shop, tmp_path):
+    own = Composer(shop.model, shop.frames, NOW, store=FolderStore(tmp_path))
+    own.define("net sales", Measure("x", "sum", "orders", "orders.total_cents", filters=(Predicate("orders.status", "not_in", ("refunded",)),)), ("net turnover",), scope="org")
+    again = Composer(shop.model, shop.frames, NOW, store=FolderStore(tmp_path))
+    for words in ("net sales", "net turnover"):
+        r, rows = again.ask(f"What were the {words}?")
+        assert r.outcome == "execute" and [tuple(x) for x in rows] == [(69.5,)], r
+    assert r.plan.measures[0].filters[0].implied
+
+
+def test_settled_measures_are_kept_under_their_name(composer, tmp_path):
+    own = Composer(composer.model, composer.frames, queries.CLOCK, store=FolderStore(tmp_path))
+    asked = own.compose("Total revenue by priority")
+    assert asked.outcome == "clarify"
+    own.accept(own.answer(asked.clarification.id, "column:lineitem.l_extendedprice"), "revenue", scope="org")
+    r = own.compose("Total revenue by nation in 2000")
+    assert r.outcome != "clarify" and r.plan.measures[0].column == "lineitem.l_extendedprice"
+
+
+def test_clauses_and_ranges():
+    assert measure_clauses("Number of orders and total value by nation and region") == ["Number of orders", "total value"]
+    assert measure_clauses("Total value by nation and region") == [] == measure_clauses("")
+    text = "size between 5 and 15 or 20"
+    numbers = [s for s in extract_spans(text) if s.kind == "number"]
+    assert {a.value: z.value for a, z in between_pairs(text, numbers).items()} == {5: 15}
+    assert [s.value for s in text_matches('name containing "a b" of "c"', extract_spans('name containing "a b" of "c"'))] == ["a b"]
