@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 
 from .composer import Composer
 
@@ -71,6 +73,19 @@ def check(case: Case, composer: Composer, sql: Callable[[str], list[tuple]]) ->
     return Outcome(case.id, True, r.outcome, "", rows)
 
 
+def load_cases(path: str | Path) -> list[Case]:
+    return [Case(**{k: tuple(v) if isinstance(v, list) else v for k, v in c.items()}) for c in json.loads(Path(path).read_text())]
+
+
+def evaluate(composer: Composer, cases: list[Case], sql: Callable[[str], list[tuple]]) -> int:
+    """Print a line for each case and the score; how many failed."""
+    done = [check(c, composer, sql) for c in cases]
+    for o in done:
+        print("pass" if o.passed else "FAIL", o.id, o.outcome, o.why)
+    print(f"{sum(o.passed for o in done)} / {len(done)}")
+    return sum(not o.passed for o in done)
+
+
 def verify_gold(case: Case, sql: Callable[[str], list[tuple]]) -> list[str]:
     """Golds that say nothing: no rows."""
     return [q for q in case.gold if not sql(q)]

@@ -1,6 +1,9 @@
 """Periods, spans, words, decoding, conventions and whole requests."""
 
+import http.client
 import itertools
+import json
+import threading
 from datetime import datetime, timedelta
 
 import duckdb
@@ -12,7 +15,7 @@ from askframe import queries
 from askframe.functions.periods import Clock, Parts, PeriodSpec, instant, period_bounds, shift_years
 from askframe.language.composer import Composer
 from askframe.language.details import between_pairs, measure_clauses, text_matches
-from askframe.language.harness import Case, check, matches
+from askframe.language.harness import Case, check, evaluate, load_cases, matches
 from askframe.language.heuristic import HeuristicOracle
 from askframe.language.lexicon import plural, singular, snake, stem
 from askframe.language.oracle import CachingOracle, HttpOracle, LogprobOracle, Question, RecordingOracle, margin
@@ -21,6 +24,7 @@ from askframe.language.spans import extract_spans
 from askframe.plans.decode import assign_spans, assignment, joint_decode
 from askframe.plans.types import Measure, Predicate
 from askframe.plans.describe import narrate, signature
+from askframe.server import serve
 from askframe.sources.conventions import Config, build_model
 from askframe.sources.doctor import doctor
 from askframe.sources.lockfile import is_stale, read_lockfile, write_lockfile
@@ -296,3 +300,28 @@ def test_clauses_and_ranges():
     numbers = [s for s in extract_spans(text) if s.kind == "number"]
     assert {a.value: z.value for a, z in between_pairs(text, numbers).items()} == {5: 15}
     assert [s.value for s in text_matches('name containing "a b" of "c"', extract_spans('name containing "a b" of "c"'))] == ["a b"]
+
+
+def test_server(shop):
+    s = serve(shop, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+
+    def send(path, **body):
+        c = http.client.HTTPConnection(*s.server_address)
+        c.request("POST" if body else "GET", path, json.dumps(body) if body else None)
+        r = c.getresponse()
+        return r.status, json.loads(r.read())
+
+    assert send("/schema")[1]["orders"]["columns"]["status"] == "dimension_categorical"
+    status, got = send("/ask", request="How many refunded orders?")
+    assert (status, got["outcome"]) == (200, "clarify") and send("/run", result=got["result"])[0] == 422
+    got = send("/answer", id=got["clarification"]["id"], option="related")[1]
+    assert send("/run", result=got["result"]) == (200, {"columns": ["n"], "rows": [[2]]})
+    assert send("/ask", nothing=1)[0] == 400 and send("/other", x=1)[0] == 400
+    s.shutdown()
+
+
+def test_cases_from_a_file(shop, tmp_path, capsys):
+    (tmp_path / "cases.json").write_text(json.dumps([{"id": "a", "request": "How many orders?", "gold": ["right"]}, {"id": "b", "request": "How many orders?", "gold": ["wrong"]}, {"id": "c", "request": "Delete all orders", "outcomes": ["decline"]}]))
+    assert evaluate(shop, load_cases(tmp_path / "cases.json"), {"right": [(4,)], "wrong": [(5,)]}.get) == 1
+    assert capsys.readouterr().out.splitlines()[-1] == "2 / 3"
