@@ -226,7 +226,7 @@ _TREE = "WITH RECURSIVE d(id) AS (SELECT 5 UNION SELECT p_size FROM part JOIN d
 @functools.lru_cache(maxsize=4)
 def _composer(application: str, sf_dir: str) -> Composer:
     """Profiled once for each application and folder; the profile is what words are matched with."""
-    b = engine(SparkSession.getActiveSession(), sf_dir)
+    b = engine(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), sf_dir)
     for name, table in b.model.tables.items():
         profile(b.frames[name], table)
     return Composer(b.model, b.frames, CLOCK)
