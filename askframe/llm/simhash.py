@@ -7,7 +7,8 @@ passed on, and components are found by star steps over tables.
 
 For wide radii, as a shingle similarity of 0.8 needs, blocks would be too short to tell anything apart. There the groups
 are min-hash bands instead (20 bands of 3 rows: a pair at 0.8 misses all with probability 6e-7), the trie join runs inside
-each, and its links are verified by exact shingle similarity.
+each, and its links are verified by exact shingle similarity. A forest is only a first guess: groups that its verified links
+don't make one component are compared by exact similarity, every pair of members of different components.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ CUT_ABOVE = 2000
 #: Rows that a task joins at once, at least; it ends at a group's end.
 AT_ONCE = 200_000
 BANDS, ROWS = 20, 3
-#: Groups of so few members give all their pairs for verification, others a spanning forest of the nearest.
+#: Groups of so few members give all their pairs for verification, others a spanning forest of the nearest first.
 ALL_PAIRS = 16
+#: Members of a part of a group; a task compares two parts at a time.
+PART = 2000
 
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -162,10 +165,9 @@ def join_groups(rows: DataFrame, radius: int, full: int = 0) -> DataFrame:
     return rows.select("g1", "g2", "fp").repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(work, "a long, b long").distinct()
 
 
-def _similar(links: DataFrame, docs: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
-    """The links whose fingerprints' first documents have a shingle similarity of at least ``least``."""
-    ids = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    first = prints.join(ids, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("fp", F.col("d.doc_id").alias("_id"), F.col("d.th").alias("_th"))
+def _shingle_sets(nodes: DataFrame, docs: DataFrame, prints: DataFrame, k: int) -> DataFrame:
+    """fp, s: the distinct shingles of the first document of each of the fingerprints nodes(fp)."""
+    first = prints.join(nodes, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("fp", F.col("d.doc_id").alias("_id"), F.col("d.th").alias("_th"))
     texts = docs.select("doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))).select("fp", "text")
     out = arrow_schema(docs.sparkSession, "fp long, s array<long>")
 
@@ -173,12 +175,86 @@ def _similar(links: DataFrame, docs: DataFrame, prints: DataFrame, k: int, least
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, k)).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], schema=out)
 
-    sets = spill(texts.mapInArrow(work, "fp long, s array<long>"), "shingles")
+    return spill(texts.mapInArrow(work, "fp long, s array<long>"), "shingles")
+
+
+def _similar(links: DataFrame, docs: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
+    """The links whose fingerprints' first documents have a shingle similarity of at least ``least``."""
+    ids = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+    sets = _shingle_sets(ids, docs, prints, k)
     both = links.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
+def similar_pairs(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Index pairs at similarity ``least`` or more that join the labels: between side 0 and side 1, or among all if there is one side.
+
+    A list of members for each shingle gives the exact shared counts of a member with all others; pairs whose labels are
+    joined already are left out.
+    """
+    label = np.unique(label, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    two = side.any() and not side.all()
+    listed = np.flatnonzero(side) if two else np.arange(len(sets))
+    token = np.concatenate([sets[i] for i in listed])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], np.repeat(listed, size[listed])[order]
+    out = []
+    for i in np.flatnonzero(side == 0) if two else listed:
+        if not (label[listed] != label[i]).any():
+            continue
+        lo, hi = np.searchsorted(token, sets[i]), np.searchsorted(token, sets[i], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        ok = (shared > 0) & (shared >= least * (size[i] + size - shared))
+        for j in np.flatnonzero(ok & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                out.append((int(i), j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _among_groups(rows: DataFrame, links: DataFrame, docs: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
+    """a, b: the links that groups of more than ALL_PAIRS members still need, as their verified links don't make them one component."""
+    spark = rows.sparkSession
+    group = components(links).select(F.col("node").alias("fp"), "component")
+    size = rows.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter(F.col("n") > ALL_PAIRS)
+    named = rows.join(size, ["g1", "g2"]).join(group, "fp", "left").select("g1", "g2", "n", "fp", F.coalesce("component", "fp").alias("label"))
+    mixed = named.groupBy("g1", "g2").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("g1", "g2")
+    named = spill(named.join(mixed, ["g1", "g2"]), "members")
+    # a group is cut into parts by hash and every two parts meet in a unit of their own
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    unit = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(j, part).alias("i"), F.greatest(j, part).alias("j"), (part > j).cast("long").alias("side")))
+    dealt = named.withColumn("u", F.explode(unit)).select("g1", "g2", "u.i", "u.j", "u.side", "fp", "label")
+    sets = _shingle_sets(named.select("fp").distinct(), docs, prints, k)
+    out = arrow_schema(spark, "a long, b long")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def found() -> pa.RecordBatch:
+            fp = np.array([x[0] for x in held], np.int64)
+            got = similar_pairs([x[3] for x in held], np.array([x[1] for x in held]), np.array([x[2] for x in held]), least)
+            return pa.RecordBatch.from_arrays([pa.array(fp[[x[c] for x in got]] if got else fp[:0]) for c in range(2)], schema=out)
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in range(7)]
+            for r, key in enumerate(zip(*cols[:4], strict=True)):
+                if key != now:
+                    if held:
+                        yield found()
+                    now, held = key, []
+                held.append((cols[5][r], cols[6][r], cols[4][r], np.array(batch.column(7)[r].values, np.int64)))
+        if held:
+            yield found()
+
+    units = dealt.join(sets, "fp").select("g1", "g2", "i", "j", "side", "fp", "label", "s")
+    return units.repartition(partitions(spark), "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j").mapInArrow(work, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id for every document; docs: doc_id, text.
 
@@ -194,8 +270,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, similarity: fl
         rows = block_groups(prints.select("fp").distinct(), radius)
         links = join_groups(rows, radius)
     else:
-        rows = prints.dropDuplicates(["fp"]).select("fp", F.posexplode("bands").alias("g1", "g2")).withColumn("g1", F.col("g1").cast("long"))
-        links = _similar(spill(join_groups(rows, radius, ALL_PAIRS), "candidates"), docs, prints, k, similarity)
+        rows = spill(prints.dropDuplicates(["fp"]).select("fp", F.posexplode("bands").alias("g1", "g2")).withColumn("g1", F.col("g1").cast("long")), "bands")
+        links = spill(_similar(spill(join_groups(rows, radius, ALL_PAIRS), "candidates"), docs, prints, k, similarity), "similar")
+        links = links.unionByName(spill(_among_groups(rows, links, docs, prints, k, similarity), "among"))
     prints = prints.select("doc_id", "fp")
     group = components(links)
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -335,6 +335,23 @@ def test_near_duplicates(spark, docs, none, k, radius, similarity):
     assert simhash.near_duplicates(none, k, radius, similarity).collect() == []
 
 
+def components_found(spark, rows, *how):
+    got = defaultdict(set)
+    for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), *how).collect():
+        got[r.component_id].add(r.doc_id)
+    return {frozenset(x) for x in got.values()}
+
+
+def test_near_copies_in_a_family(spark, monkeypatch):
+    """Pages that share most of their words with hundreds of others, at less than the similarity; some have a near copy, no nearer by its bits."""
+    monkeypatch.setattr(simhash, "PART", 150, raising=False)
+    shared = [f"s{i}" for i in range(165)]
+    pages = [shared + [f"p{n}x{i}" for i in range(22)] for n in range(400)]
+    copies = [p[:173] + [f"c{n}x{i}" for i in range(14)] for n, p in enumerate(pages[:100])]
+    rows = [(i, " ".join(p)) for i, p in enumerate(pages + copies)]
+    assert components_found(spark, rows, 1, 18, 0.8) == {frozenset((i, 400 + i)) if i < 100 else frozenset((i,)) for i in range(400)}
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     ids = [r.doc_id for r in kept.collect()]
