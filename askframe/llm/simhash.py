@@ -79,20 +79,22 @@ def bands_of(h: np.ndarray) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, k: int, bands: bool = False) -> DataFrame:
-    """doc_id, th (hash of the text), fp (signed long with the fingerprint's bits) and, if asked for, bands."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long" + ", bands array<long>" * bands
+    """doc_id, th (hash of the text), fp (signed long with the fingerprint's bits) and, if asked for, node (hash of the shingle set) and bands."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long" + ", node long, bands array<long>" * bands
     out = arrow_schema(docs.sparkSession, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
+            fps, nodes, keys = [], [], []
             for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, k)
                 fps.append(fingerprint(h))
                 if bands:
-                    keys.append(bands_of(np.unique(h)))
+                    h = np.unique(h)
+                    nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                    keys.append(bands_of(h))
             cols = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(keys, pa.list_(pa.int64()))] * bands, schema=out)
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))] * bands, schema=out)
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(work, schema)
 
@@ -127,28 +129,31 @@ def block_groups(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def join_groups(rows: DataFrame, radius: int, full: int = 0) -> DataFrame:
-    """a, b: connecting links between fingerprints of the same group (g1, g2)."""
+    """a, b: connecting links between fingerprints, or nodes if there is such a column, of the same group (g1, g2)."""
     spark = rows.sparkSession
     out = arrow_schema(spark, "a long, b long")
     n = partitions(spark)
+    named = ["g1", "g2", "fp", *(["node"] if "node" in rows.columns else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(parts: list[np.ndarray]) -> pa.RecordBatch:
             x = np.concatenate(parts, axis=1)
             fp = x[2].view(np.uint64)
             order = np.lexsort((fp, x[1], x[0]))
-            g1, g2, fp = x[0][order], x[1][order], fp[order]
+            g1, g2, fp, node = x[0][order], x[1][order], fp[order], x[-1][order]
             new = np.concatenate(([True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])))
             group = np.cumsum(new)
             keep = np.concatenate(([True], (fp[1:] != fp[:-1]) | new[1:]))
-            fp, group = fp[keep], group[keep]
-            i, j = trie_links(fp, group, radius, full)
-            return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], schema=out)
+            some = np.flatnonzero(keep)
+            i, j = trie_links(fp[some], group[some], radius, full)
+            again = np.flatnonzero(~keep)  # nodes of one fingerprint are linked in a row
+            i, j = np.concatenate((some[i], again - 1)), np.concatenate((some[j], again))
+            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], schema=out)
 
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(named))])
             if size >= AT_ONCE and x.shape[1]:
                 last = held[-1][:2, -1:]
                 other = np.flatnonzero((x[:2] != last).any(0))
@@ -162,27 +167,27 @@ def join_groups(rows: DataFrame, radius: int, full: int = 0) -> DataFrame:
         if held:
             yield joined(held)
 
-    return rows.select("g1", "g2", "fp").repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(work, "a long, b long").distinct()
+    return rows.select(named).repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(work, "a long, b long").distinct()
 
 
 def _shingle_sets(nodes: DataFrame, docs: DataFrame, prints: DataFrame, k: int) -> DataFrame:
-    """fp, s: the distinct shingles of the first document of each of the fingerprints nodes(fp)."""
-    first = prints.join(nodes, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("fp", F.col("d.doc_id").alias("_id"), F.col("d.th").alias("_th"))
-    texts = docs.select("doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))).select("fp", "text")
-    out = arrow_schema(docs.sparkSession, "fp long, s array<long>")
+    """node, s: the distinct shingles of the first document of each of nodes(node)."""
+    first = prints.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("node", F.col("d.doc_id").alias("_id"), F.col("d.th").alias("_th"))
+    texts = docs.select("doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))).select("node", "text")
+    out = arrow_schema(docs.sparkSession, "node long, s array<long>")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, k)).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], schema=out)
 
-    return spill(texts.mapInArrow(work, "fp long, s array<long>"), "shingles")
+    return spill(texts.mapInArrow(work, "node long, s array<long>"), "shingles")
 
 
 def _similar(links: DataFrame, docs: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
-    """The links whose fingerprints' first documents have a shingle similarity of at least ``least``."""
-    ids = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+    """The links whose nodes have a shingle similarity of at least ``least``."""
+    ids = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     sets = _shingle_sets(ids, docs, prints, k)
-    both = links.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
@@ -219,26 +224,26 @@ def similar_pairs(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, l
 def _among_groups(rows: DataFrame, links: DataFrame, docs: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
     """a, b: the links that groups of more than ALL_PAIRS members still need, as their verified links don't make them one component."""
     spark = rows.sparkSession
-    group = components(links).select(F.col("node").alias("fp"), "component")
+    group = components(links)
     size = rows.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter(F.col("n") > ALL_PAIRS)
-    named = rows.join(size, ["g1", "g2"]).join(group, "fp", "left").select("g1", "g2", "n", "fp", F.coalesce("component", "fp").alias("label"))
+    named = rows.join(size, ["g1", "g2"]).join(group, "node", "left").select("g1", "g2", "n", "node", F.coalesce("component", "node").alias("label"))
     mixed = named.groupBy("g1", "g2").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("g1", "g2")
     named = spill(named.join(mixed, ["g1", "g2"]), "members")
     # a group is cut into parts by hash and every two parts meet in a unit of their own
     parts = F.ceil(F.col("n") / PART).cast("int")
-    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
     unit = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(j, part).alias("i"), F.greatest(j, part).alias("j"), (part > j).cast("long").alias("side")))
-    dealt = named.withColumn("u", F.explode(unit)).select("g1", "g2", "u.i", "u.j", "u.side", "fp", "label")
-    sets = _shingle_sets(named.select("fp").distinct(), docs, prints, k)
+    dealt = named.withColumn("u", F.explode(unit)).select("g1", "g2", "u.i", "u.j", "u.side", "node", "label")
+    sets = _shingle_sets(named.select("node").distinct(), docs, prints, k)
     out = arrow_schema(spark, "a long, b long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def found() -> pa.RecordBatch:
-            fp = np.array([x[0] for x in held], np.int64)
+            node = np.array([x[0] for x in held], np.int64)
             got = similar_pairs([x[3] for x in held], np.array([x[1] for x in held]), np.array([x[2] for x in held]), least)
-            return pa.RecordBatch.from_arrays([pa.array(fp[[x[c] for x in got]] if got else fp[:0]) for c in range(2)], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array(node[[x[c] for x in got]] if got else node[:0]) for c in range(2)], schema=out)
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in range(7)]
@@ -251,7 +256,7 @@ def _among_groups(rows: DataFrame, links: DataFrame, docs: DataFrame, prints: Da
         if held:
             yield found()
 
-    units = dealt.join(sets, "fp").select("g1", "g2", "i", "j", "side", "fp", "label", "s")
+    units = dealt.join(sets, "node").select("g1", "g2", "i", "j", "side", "node", "label", "s")
     return units.repartition(partitions(spark), "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j").mapInArrow(work, "a long, b long").distinct()
 
 
@@ -259,7 +264,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, similarity: fl
     """doc_id, fingerprint, component_id for every document; docs: doc_id, text.
 
     A-Z are lower-cased, words are [^\\x20\\x09-\\x0D]+, shingles are k words. Without similarity, fingerprints at radius bits
-    or fewer link. With it, documents whose shingle sets reach it link (radius then only prunes, and should be wide).
+    or fewer link. With it, documents whose shingle sets reach it link, and no others, whatever their fingerprints (radius then only prunes, and
+    should be wide).
     Defined cases: null, empty and wordless texts have fingerprint zero and link like any other; fewer than k words are one
     shingle; repeated rows come back once each and are copies; a null doc_id links like any other but is no component's
     smallest id (component_id is null if there is no other); further columns are not looked at; texts count whole.
@@ -269,17 +275,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, similarity: fl
     if similarity is None:
         rows = block_groups(prints.select("fp").distinct(), radius)
         links = join_groups(rows, radius)
+        prints = prints.select("doc_id", "fp", F.col("fp").alias("node"))
     else:
-        rows = spill(prints.dropDuplicates(["fp"]).select("fp", F.posexplode("bands").alias("g1", "g2")).withColumn("g1", F.col("g1").cast("long")), "bands")
+        once = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+        rows = spill(once.select("node", "fp", F.posexplode("bands").alias("g1", "g2")).withColumn("g1", F.col("g1").cast("long")), "bands")
         links = spill(_similar(spill(join_groups(rows, radius, ALL_PAIRS), "candidates"), docs, prints, k, similarity), "similar")
         links = links.unionByName(spill(_among_groups(rows, links, docs, prints, k, similarity), "among"))
-    prints = prints.select("doc_id", "fp")
-    group = components(links)
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    known = first.join(group, first["fp"] == group["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+        prints = prints.select("doc_id", "fp", "node")
+    group = components(links).withColumnRenamed("node", "_node")
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    known = first.join(group, first["node"] == group["_node"], "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = known.join(least, "component").select("node", "component_id")
+    return prints.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, radius: int = 18, similarity: float = 0.8) -> DataFrame:

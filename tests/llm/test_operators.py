@@ -352,6 +352,15 @@ def test_near_copies_in_a_family(spark, monkeypatch):
     assert components_found(spark, rows, 1, 18, 0.8) == {frozenset((i, 400 + i)) if i < 100 else frozenset((i,)) for i in range(400)}
 
 
+def test_same_fingerprint_is_no_link(spark):
+    """A filler that makes over half of the shingles is the fingerprint; each text may have copies of its own."""
+    rest = [[f"r{n}x{i}" for i in range(60)] for n in range(4)]
+    rows = [(n, " ".join(["ab"] * 100 + x)) for n, x in enumerate(rest)] + [(10 + n, " ".join(x)) for n, x in enumerate(rest)]
+    prints = {fingerprint_by_force(t, 1)[0] for _, t in rows[:4]}
+    assert len(prints) == 1
+    assert components_found(spark, rows, 1, 18, 0.8) == {frozenset((n, 10 + n)) for n in range(4)}
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     ids = [r.doc_id for r in kept.collect()]
