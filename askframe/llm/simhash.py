@@ -6,9 +6,11 @@ fingerprints share is cut again by the blocks of the remaining bits, by the same
 passed on, and components are found by star steps over tables.
 
 For wide radii, as a shingle similarity of 0.8 needs, blocks would be too short to tell anything apart. There the groups
-are min-hash bands instead (20 bands of 3 rows: a pair at 0.8 misses all with probability 6e-7), the trie join runs inside
-each, and its links are verified by exact shingle similarity. A forest is only a first guess: groups that its verified links
-don't make one component are compared by exact similarity, every pair of members of different components.
+are min-hash bands instead (20 bands of 3 rows: a pair at 0.8 misses all with probability 6e-7). Small groups give all their
+pairs, the trie join runs inside the others, and links are verified by exact shingle similarity. The trie's forest, and with
+it the radius, is only a first guess: groups that its verified links don't make one component are compared by exact
+similarity, every pair of members of different components. Fingerprints weigh repeats and similarity doesn't, so no distance
+between them rules a pair out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from ..deploy import ship
 from .common import arrow_schema, partitions, spill, words_of
 from .components import components
-from .trie import trie_links
+from .trie import _expand, trie_links
 
 SEED = 42
 #: Distinct fingerprints of a block value above which it is cut again.
@@ -129,7 +131,10 @@ def block_groups(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def join_groups(rows: DataFrame, radius: int, full: int = 0) -> DataFrame:
-    """a, b: connecting links between fingerprints, or nodes if there is such a column, of the same group (g1, g2)."""
+    """a, b: connecting links between fingerprints, or nodes if there is such a column, of the same group (g1, g2).
+
+    Groups of at most ``full`` members give all their pairs, whatever their distance.
+    """
     spark = rows.sparkSession
     out = arrow_schema(spark, "a long, b long")
     n = partitions(spark)
@@ -144,10 +149,15 @@ def join_groups(rows: DataFrame, radius: int, full: int = 0) -> DataFrame:
             new = np.concatenate(([True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])))
             group = np.cumsum(new)
             keep = np.concatenate(([True], (fp[1:] != fp[:-1]) | new[1:]))
-            some = np.flatnonzero(keep)
-            i, j = trie_links(fp[some], group[some], radius, full)
-            again = np.flatnonzero(~keep)  # nodes of one fingerprint are linked in a row
-            i, j = np.concatenate((some[i], again - 1)), np.concatenate((some[j], again))
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(fp))
+            few = ends - starts <= full
+            rest = ~np.repeat(few, ends - starts)
+            some = np.flatnonzero(keep & rest)
+            i, j = trie_links(fp[some], group[some], radius)
+            again = np.flatnonzero(~keep & rest)  # nodes of one fingerprint are linked in a row
+            a, b = _expand(starts[few], ends[few], starts[few], ends[few])
+            i, j = np.concatenate((some[i], again - 1, a[a < b])), np.concatenate((some[j], again, b[a < b]))
             return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], schema=out)
 
         held: list[np.ndarray] = []
@@ -264,8 +274,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, similarity: fl
     """doc_id, fingerprint, component_id for every document; docs: doc_id, text.
 
     A-Z are lower-cased, words are [^\\x20\\x09-\\x0D]+, shingles are k words. Without similarity, fingerprints at radius bits
-    or fewer link. With it, documents whose shingle sets reach it link, and no others, whatever their fingerprints (radius then only prunes, and
-    should be wide).
+    or fewer link. With it, documents whose shingle sets reach it link, and no others, whatever their fingerprints (radius then only
+    says which pairs of a large group are tried first).
     Defined cases: null, empty and wordless texts have fingerprint zero and link like any other; fewer than k words are one
     shingle; repeated rows come back once each and are copies; a null doc_id links like any other but is no component's
     smallest id (component_id is null if there is no other); further columns are not looked at; texts count whole.

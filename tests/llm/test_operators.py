@@ -361,6 +361,15 @@ def test_same_fingerprint_is_no_link(spark):
     assert components_found(spark, rows, 1, 18, 0.8) == {frozenset((n, 10 + n)) for n in range(4)}
 
 
+def test_repeats_are_no_difference(spark):
+    """Texts of one shingle set, or nearly, in which a passage is repeated: further apart than the radius by their bits."""
+    base = [[f"b{n}x{i}" for i in range(80)] for n in range(6)]
+    rows = [(n, " ".join(x)) for n, x in enumerate(base)] + [(10 + n, " ".join(x[:4] * 60 + x + ["new"])) for n, x in enumerate(base)]
+    far = [fingerprint_by_force(rows[n][1], 1)[0] ^ fingerprint_by_force(rows[6 + n][1], 1)[0] for n in range(6)]
+    assert any(x.bit_count() > 18 for x in far)
+    assert components_found(spark, rows, 1, 18, 0.8) == {frozenset((n, 10 + n)) for n in range(6)}
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     ids = [r.doc_id for r in kept.collect()]
