@@ -4,10 +4,10 @@ Windows of a document, as many words long as a benchmark item, are fingerprinted
 so are the items. Fingerprints meet through a multi-index: 64 bits in RADIUS + 1 blocks, so any two within RADIUS bits agree
 in a block of windows and items of the same size. Candidates are verified by exact weighted (multiset) Jaccard similarity.
 
-Only windows that can reach the similarity are fingerprinted. One at 0.8 shares at least 0.8 of the item's shingles, so it
-has one of any set of them that weighs more than 0.2: those with the smallest hashes are the item's keys, and a window is
-placed where a key of the document lines up with the item. That selection loses no aligned window; it is a filter before the
-fingerprints, not a way round them.
+Windows start at every word, but only those that can reach the similarity are fingerprinted. One at 0.8 misses at most a
+ninth of the item's shingles (0.2 of them if the document is shorter than the item). The item's keys are those with the
+smallest hashes that weigh more than 0.2, so a window at 0.8 holds all of them but a ninth of the item's weight, in whatever
+order. That selection loses no window; it is a filter before the fingerprints, not a way round them.
 """
 
 from __future__ import annotations
@@ -71,17 +71,39 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _keys(items: DataFrame) -> DataFrame:
-    """h, m, q: an item's shingles with the smallest hashes, over 0.2 of its weight, and where they stand."""
-    spots = items.select("item_id", "m", F.posexplode("s").alias("q", "h"))
-    weight = items.select("item_id", "m", F.explode(F.slice(F.array_sort("s"), F.lit(1), (F.floor(F.col("m") * F.lit(1 - SIMILARITY) + F.lit(1e-9)) + 1).cast("int"))).alias("h")).distinct()
-    return spots.join(weight, ["item_id", "m", "h"]).select("h", "m", "q").distinct()
+    """h, m: an item's shingles with the smallest hashes, over 0.2 of its weight."""
+    return items.select("m", F.explode(F.slice(F.array_sort("s"), F.lit(1), _weight(F.col("m")))).alias("h")).select("h", "m").distinct()
+
+
+def _weight(m: Column) -> Column:
+    """How many shingles of an item its keys are, at least."""
+    return (F.floor(m * F.lit(1 - SIMILARITY) + F.lit(1e-9)) + 1).cast("int")
+
+
+def _starts(hits: Column, n: Column, m: Column) -> Column:
+    """Starts, each once, of all windows of m out of n shingles with enough of the sorted places of keys to reach the similarity."""
+    last = F.greatest(n - m, F.lit(0))
+    need = F.when(n <= m, 1).otherwise(_weight(m) - F.floor(m * F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) + F.lit(1e-9)).cast("int"))
+
+    def runs(a: Column) -> Column:
+        """For each run of as many keys as needed, first and last start of the windows that hold it and aren't named before."""
+
+        def run(_: Column, i: Column) -> Column:
+            high = F.least(F.get(a, i), last)
+            low = F.greatest(F.get(a, i + need - 1) - m + 1, F.lit(0), F.when(i > 0, F.least(F.get(a, i - 1), last) + 1).otherwise(0))
+            return F.struct(low.alias("low"), high.alias("high"))
+
+        return F.transform(F.slice(a, F.lit(1), F.greatest(F.size(a) - need + 1, F.lit(0))), run)
+
+    some = F.filter(F.flatten(F.transform(F.array(hits), runs)), lambda r: r["low"] <= r["high"])
+    return F.flatten(F.transform(some, lambda r: F.sequence(r["low"], r["high"])))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start (word): the best window of every leak; clean documents have no row.
 
-    docs: doc_id, text; benchmark: item_id, text. A leak is a window, as long as the item and lined up with it at a shared
-    shingle, of weighted shingle similarity 0.8 or more; a document shorter than the item is one window. Defined cases: items
+    docs: doc_id, text; benchmark: item_id, text. A leak is a window, as long as the item and wherever it starts, of weighted
+    shingle similarity 0.8 or more; a document shorter than the item is one window. Defined cases: items
     and documents of fewer than five words, null or empty have no shingles and match nothing; items without an id are
     left out; repeated items and rows don't multiply the result (one row for each doc_id and item_id; equal windows: the first);
     a null doc_id is an id like any other; texts of any length are taken whole; further columns are not looked at.
@@ -91,12 +113,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.select("doc_id", "text")
     spots = texts.select("doc_id", F.posexplode(shingles(F.col("text"))).alias("p", "h"))
-    hits = spots.join(F.broadcast(keys) if few else keys, "h").select("doc_id", "m", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start")).distinct()
-    places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("m", "start")).alias("places")).withColumnRenamed("doc_id", "_id")
+    hits = spots.join(F.broadcast(keys) if few else keys, "h").groupBy("doc_id", "m").agg(F.array_sort(F.collect_set("p")).alias("hits"))
+    places = hits.groupBy("doc_id").agg(F.collect_list(F.struct("m", "hits")).alias("places")).withColumnRenamed("doc_id", "_id")
     near = texts.join(places, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", shingles(F.col("text")).alias("all"), "places")
-    near = near.select("doc_id", "all", F.explode("places").alias("w"))
-    start = F.least(F.col("w.start"), F.greatest(F.size("all") - F.col("w.m"), F.lit(0)))
-    windows = near.select("doc_id", F.col("w.m").alias("m"), start.alias("start"), F.slice("all", start + 1, F.col("w.m")).alias("s")).filter(F.size("s") > 0)
+    near = near.select("doc_id", "all", F.explode("places").alias("w")).filter(F.size("all") > 0)
+    starts = _starts(F.col("w.hits"), F.size("all"), F.col("w.m"))
+    windows = near.select("doc_id", F.col("w.m").alias("m"), "all", F.explode(starts).alias("start"))
+    windows = windows.select("doc_id", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("s"))
     windows = windows.select("doc_id", "m", "start", multiset(F.col("s")).alias("x"), simhash(F.col("s")).alias("fp"))
     marked = items.select("item_id", "m", multiset(F.col("s")).alias("y"), simhash(F.col("s")).alias("item_fp"))
     index = marked.select("item_id", "m", "y", "item_fp", F.explode(block_values(F.col("item_fp"))).alias("k")).select("item_id", "m", "y", "item_fp", "k.b", "k.v")

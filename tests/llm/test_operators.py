@@ -197,6 +197,21 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.find_leaks(none, bench).collect() == [] == decontaminate.find_leaks(docs, bench.limit(0)).collect()
 
 
+def test_decontamination_at_every_start(spark):
+    """Items whose parts are swapped, amid other text: no window at 0.8 starts where a shingle lines up with the item."""
+    items = [(n, prose(54, 700 + n)) for n in range(4)] + [(9, "one two three four five six seven eight")]
+    rows = []
+    for n, item in items[:4]:
+        w = item.split()
+        cut = (27, 20, 40, 30)[n]
+        rows.append((n, " ".join([prose(200, 800 + n), *w[cut:], *w[:cut], prose(200, 900 + n)])))
+    rows += [(20, prose(30, 1) + " one two three four five six seven eight"), (21, "one two three four five six seven eight"), (22, "")]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = {(i, k): round(s, 9) for i, t in rows for k, item in items if (s := similarity_by_force(t, item)) >= 0.8}
+    assert {(n, n) for n in range(4)} <= set(expected)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.find_leaks(frame, bench).collect()} == expected
+
+
 # --- line dedup ---
 
 
