@@ -13,8 +13,6 @@ from ..sources.model import SchemaModel, split_ref
 from .analyze import Group, PlanError, Unreachable, all_measures, analyze, dimension_table, downs, resolve
 from .graph import JoinGraph, Path
 
-HIERARCHY_DEPTH = 100
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -103,23 +101,27 @@ class Builder:
     def test(self, c: Column, p: Predicate) -> Column:
         column = self.model.column(p.column)
         if p.hierarchy:
-            return c.isin(*self.descendants(p.column, p.values))
+            below = self.descendants(p.column, p.values)
+            return c.isin(*p.values) if below is None else c.isin(below)
         return predicate(c, p, column)
 
-    def descendants(self, ref: str, values: tuple) -> list:
-        """The values and, along the table's self-reference, the values of all rows below them (cycles end)."""
+    def descendants(self, ref: str, values: tuple) -> DataFrame | None:
+        """The values and, along the table's self-reference, the values of all rows below them (cycles end); None without a self-reference."""
         table, name = split_ref(ref)
         rel = next((r for r in self.model.relationships if r.self_reference and r.child == table), None)
         if rel is None:
-            return list(values)
-        rows = self.frames[table].select(F.col(rel.parent_cols[0]).alias("id"), F.col(rel.child_cols[0]).alias("up"), F.col(name).alias("value"))
-        found = edge = rows.filter(F.col("value").isin(*values)).select("id")
-        for _ in range(HIERARCHY_DEPTH):
-            edge = rows.join(edge.withColumnRenamed("id", "up"), "up", "left_semi").select("id").join(found, "id", "left_anti")
-            if edge.isEmpty():
-                break
-            found = found.union(edge).distinct()
-        return [r[0] for r in rows.join(found, "id", "left_semi").select("value").distinct().limit(self.settings.max_rows).collect()]
+            return None
+
+        def kept(df: DataFrame) -> DataFrame:
+            """Computed once: without that the plan doubles with every level."""
+            return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+        rows = kept(self.frames[table].select(F.col(rel.parent_cols[0]).alias("id"), F.col(rel.child_cols[0]).alias("up"), F.col(name).alias("value")))
+        found = edge = kept(rows.filter(F.col("value").isin(*values)).select("id").distinct())
+        while not edge.isEmpty():
+            edge = kept(rows.join(edge.withColumnRenamed("id", "up"), "up", "left_semi").select("id").distinct().join(found, "id", "left_anti"))
+            found = kept(found.union(edge))
+        return rows.join(found, "id", "left_semi").select("value").distinct()
 
     def _conditions(self, s: Scope, plan: QueryPlan, measures: list[Measure], skip: frozenset[str] = frozenset()) -> None:
         """WHERE. What can only be reached through a 1:N step becomes a semi- or anti-join."""

@@ -14,7 +14,7 @@ from askframe.operators.builder import Builder, Settings
 from askframe.operators.guard import TimedOut, TooCostly, check_cost, run
 from askframe.plans.types import Dimension, Measure, Order, Predicate, QueryPlan
 from askframe.sources.catalog import broken_keys, columns_of, drop_broken_keys
-from askframe.sources.model import Relationship, SchemaModel, TableModel, Unit
+from askframe.sources.model import ColumnModel, Relationship, SchemaModel, TableModel, Unit
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +145,13 @@ def test_soft_delete(shop):
     shop.model.tables["orders"].soft_delete = "deleted"
     shop.model.tables["orders"].columns["deleted"].kind = "timestamp"
     assert shop.build(QueryPlan(measures=[Measure("n", "count_rows", "orders", kind="count")], soft_delete=True)).first()[0] == 2
+
+
+def test_all_values_below(spark):
+    """More values below the one asked for than result rows are allowed, and a row that is its own parent."""
+    rows = [(0, 0, "n0", "x")] + [(i, (i - 1) // 100, f"n{i}", "x") for i in range(1, 6001)] + [(9000, None, "other", "x")]
+    frames = {"nodes": spark.createDataFrame(rows, "id int, parent_id int, name string, kind string")}
+    columns = {"id": ColumnModel("id", "number", "int", unique=True, primary=True, role="identifier"), "parent_id": ColumnModel("parent_id", "number", "int"), "name": ColumnModel("name", "text", "string"), "kind": ColumnModel("kind", "text", "string")}
+    model = SchemaModel({"nodes": TableModel("nodes", columns, ("id",))}, [Relationship("nodes", ("parent_id",), "nodes", ("id",))])
+    plan = QueryPlan("breakdown", measures=[Measure("n", "count_rows", "nodes", kind="count")], dimensions=[Dimension("kind", "nodes.kind")], filters=[Predicate("nodes.name", "eq", ("n0",), hierarchy=True)])
+    assert [r.n for r in Builder(model, frames).build(plan).collect()] == [6001]
