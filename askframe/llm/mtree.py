@@ -118,8 +118,9 @@ class Best:
 
     def add(self, who: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
         k = self.k
-        if scores.shape[1] > k + 1:  # the k + 1 best and their ties are enough, one may be the query itself
-            cut = np.maximum(self.least[who], np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1])
+        scores = np.where(ids[None, :] == own[who][:, None], -np.inf, scores)  # rows with the query's own id, however many
+        if scores.shape[1] > k:  # the k best and their ties are enough
+            cut = np.maximum(self.least[who], np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
         else:
             cut = self.least[who]
         r, c = np.nonzero(scores >= cut[:, None])
@@ -171,7 +172,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     vectors: vec_id, embedding. Defined cases: vectors that are null, or hold null or non-finite components, and null ids take
     no part; ties go to the smaller vec_id; a row is no candidate of a query with the same id; repeated rows of another id
-    are candidates each; vectors of another length than the query's are none; fewer candidates give fewer rows; empty vectors
+    are candidates each, and repeated query rows ask each, so that their pairs are ranked together; vectors of another length than the query's are none; fewer candidates give fewer rows; empty vectors
     score 0; further columns are not looked at.
     """
     spark = vectors.sparkSession

@@ -304,6 +304,21 @@ def test_top_k(spark):
     assert mtree.top_k(frame.limit(0)).collect() == []
 
 
+def test_top_k_of_repeated_queries(spark):
+    """Rows of one id that score best with themselves fill no other row's place; pairs count as in the query's SQL."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 50)] + [(100, [9.0, 9.0, 9.0, 9.0])] * 10 + [(150, [8.0, 0.0, 1.0, 0.0])]
+    good = [(i, np.floor(256 * np.array(v))) for i, v in rows]
+    expected = []
+    for own in (100, 150):
+        best = sorted((-int(q @ x), j) for i, q in good if i == own for j, x in good if j != own)[:5]
+        expected += [(own, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()) == sorted(expected)
+    best = mtree.Best(1, 2)
+    best.add(np.array([0]), np.array([7] * 6 + [1, 2, 3]), np.array([[9.0] * 6 + [1.0, 2.0, 3.0]]), np.array([7]))
+    assert sorted(best.rows(np.array([7]))) == [(7, 2, 2), (7, 3, 3)]
+
+
 # --- simhash ---
 
 
