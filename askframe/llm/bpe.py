@@ -32,8 +32,8 @@ LONG, LONG_ROWS = 512, 1_000_000
 
 #: words: piece, bytes. Pieces that are tokens as they are.
 WHOLE = "CREATE OR REPLACE TEMP TABLE whole AS SELECT piece, token FROM words JOIN vocabulary USING (bytes)"
-#: start has a row for each byte: piece, place (a position that counts on from piece to piece), token, width (in bytes). A piece in which
-#: nothing merges comes out once more in state -1, and no further.
+#: start has a row for each byte: piece, place (a position that counts on from piece to piece, with a gap between them), token, width (in
+#: bytes). A piece in which nothing merges comes out once more in state -1, and no further.
 RECURSION = """
 CREATE OR REPLACE TEMP TABLE reached AS
 WITH RECURSIVE step(piece, place, token, width, state) AS (
@@ -41,7 +41,7 @@ WITH RECURSIVE step(piece, place, token, width, state) AS (
   UNION ALL
     (WITH best AS (
         SELECT a.piece, min((m.rank::{kind} << {r}) | (a.place::{kind} << {p}) | (a.width::{kind} << {w}) | b.width::{kind}) AS k
-        FROM step a JOIN step b ON b.place = a.place + a.width AND b.piece = a.piece JOIN merges m ON m.pair = a.token::BIGINT << 32 | b.token
+        FROM step a JOIN step b ON b.place = a.place + a.width JOIN merges m ON m.pair = a.token::BIGINT << 32 | b.token
         WHERE a.state >= 0 AND a.state < {rounds} GROUP BY a.piece
      ),
      found AS (SELECT piece, (k >> {r})::INTEGER AS rank, ((k >> {p}) & {pm}::{kind})::INTEGER AS place, ((k >> {w}) & {wm}::{kind})::{wide} AS own, (k & {wm}::{kind})::{wide} AS next FROM best)
@@ -58,7 +58,7 @@ WITH RECURSIVE step(piece, place, token, width, state) AS (
     SELECT piece, place, token, width::{wide}, 0::SMALLINT FROM start ANTI JOIN whole USING (piece)
   UNION ALL
     (WITH pairs AS (
-        SELECT a.piece, a.place, a.width AS own, b.width AS next, m.rank, m.safe FROM step a JOIN step b ON b.place = a.place + a.width AND b.piece = a.piece JOIN merges m ON m.pair = a.token::BIGINT << 32 | b.token
+        SELECT a.piece, a.place, a.width AS own, b.width AS next, m.rank, m.safe FROM step a JOIN step b ON b.place = a.place + a.width JOIN merges m ON m.pair = a.token::BIGINT << 32 | b.token
         WHERE a.state >= 0 AND a.state < {rounds}
      ),
      low AS (SELECT piece, min(rank) AS rank FROM pairs GROUP BY piece),
@@ -91,7 +91,7 @@ class Encoder:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() if len(t) > 1 for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         unsafe = {x for a, b, r in merges for x in (a, b) if r < x}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": "", "preserve_insertion_order": False})
         table = pa.table({"pair": pa.array([a << 32 | b for a, b, _ in merges], pa.int64()), "rank": pa.array([r for _, _, r in merges], pa.int32()), "safe": pa.array([r not in unsafe for _, _, r in merges], pa.bool_())})
         words = pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})
         for name, rows in (("merges", table), ("vocabulary", words)):
@@ -99,8 +99,8 @@ class Encoder:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def encode(self, pieces: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
-        """The number of each piece in the list, its ids (4 bytes each), and the bytes they decode to; in any order."""
+    def encode(self, pieces: list[bytes]) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
+        """Runs of pieces, in any order: their numbers in the list, their ids (4 bytes each), and the bytes that these decode to."""
         for long in (False, True):
             for some in self._runs(pieces, sorted((i for i, p in enumerate(pieces) if (len(p) > LONG) is long), key=lambda i: len(pieces[i]))):
                 yield from self._some(pieces, some, long)
@@ -117,10 +117,11 @@ class Encoder:
         if some:
             yield some
 
-    def _some(self, pieces: list[bytes], some: list[int], long: bool) -> Iterator[tuple[int, bytes, bytes]]:
+    def _some(self, pieces: list[bytes], some: list[int], long: bool) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
         all_ = b"".join([pieces[k] for k in some])
-        rows = np.repeat(np.array(some, np.int32), [len(pieces[k]) for k in some])
-        todo = pa.table({"piece": rows, "place": np.arange(len(rows), dtype=np.int32), "token": self.byte[np.frombuffer(all_, np.uint8)], "width": np.ones(len(rows), np.int32)})
+        lengths = [len(pieces[k]) for k in some]
+        rows = np.repeat(np.array(some, np.int32), lengths)
+        todo = pa.table({"piece": rows, "place": np.arange(len(rows), dtype=np.int32) + np.repeat(np.arange(len(some), dtype=np.int32), lengths), "token": self.byte[np.frombuffer(all_, np.uint8)], "width": np.ones(len(rows), np.int32)})
         words = pa.table({"piece": np.array(some, np.int32), "bytes": pa.array([pieces[k] for k in some], pa.binary())})
         if len(rows) > BYTES_AT_ONCE:  # one piece of so many bytes
             self.db.execute(f"SET memory_limit = '{MEMORY + 500 * len(rows)}B'")
@@ -137,8 +138,7 @@ class Encoder:
                 at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4").tobytes()
                 ends, data = np.frombuffer(back.values.buffers()[1], np.int32)[back.values.offset :], back.values.buffers()[2]
                 data, at, cut = data.to_pybytes() if data else b"", (4 * at).tolist(), ends[back.offsets.to_numpy()].tolist()
-                for k, a, z, x, y in zip(got.column("piece").to_pylist(), at[:-1], at[1:], cut[:-1], cut[1:], strict=True):
-                    yield k, flat[a:z], data[x:y]
+                yield got.column("piece").to_pylist(), [flat[a:z] for a, z in zip(at, at[1:])], [data[a:z] for a, z in zip(cut, cut[1:])]
             todo, words = self.db.sql(UNDONE).to_arrow_table(), words.slice(0, 0)
         if len(rows) > BYTES_AT_ONCE:
             self.db.execute(f"SET memory_limit = '{MEMORY}B'")
@@ -155,13 +155,14 @@ class Numbers(dict):
     """piece -> number, given out when a piece is first looked up; coded and decoded: what is known of each number."""
 
     def __init__(self, older: Numbers | None = None):
-        self.older, self.coded, self.decoded, self.todo = older, [], [], []
+        self.older, self.coded, self.decoded, self.todo, self.places = older, [], [], [], []
 
     def __missing__(self, piece: str) -> int:
         n = self[piece] = len(self.coded)
         was = self.older.get(piece) if self.older is not None else None
         if was is None:
             self.todo.append(piece)
+            self.places.append(n)
         self.coded.append(None if was is None else self.older.coded[was])
         self.decoded.append(None if was is None else self.older.decoded[was])
         return n
@@ -198,10 +199,12 @@ def encode_texts(texts: list[str | None], split: Callable[[str], list[str]], enc
     known = cache.renew()
     number, coded, decoded = known.__getitem__, known.coded, known.decoded
     cut = [list(map(number, split(t))) if t else () for t in texts]
-    todo, known.todo = known.todo, []
-    for i, ids, back in encoder.encode([p.encode("utf-8", "surrogatepass") for p in todo]):
-        n = known[todo[i]]
-        coded[n], decoded[n] = ids, back
+    todo, places = known.todo, known.places
+    known.todo, known.places = [], []
+    for which, ids, back in encoder.encode([p.encode("utf-8", "surrogatepass") for p in todo]):
+        for i, x, y in zip(which, ids, back, strict=True):
+            n = places[i]
+            coded[n], decoded[n] = x, y
     return [(b"".join(map(coded.__getitem__, c)), b"".join(map(decoded.__getitem__, c))) for c in cut]
 
 
