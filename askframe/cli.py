@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +14,7 @@ from .functions.periods import Clock
 from .language.composer import Composer
 from .language.harness import evaluate, load_cases
 from .server import serve
+from .sources.catalog import parquet_frames
 from .sources.conventions import build_model
 from .sources.doctor import doctor
 from .sources.lockfile import write_lockfile
@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--port", type=int, default=8080)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    frames = {x.stem: spark.read.parquet(str(x)) for x in sorted(Path(a.folder).glob("*.parquet"))}
+    frames = parquet_frames(spark, a.folder)
     model = build_model(frames)
     if a.command == "introspect":
         for t in model.tables.values():

@@ -1,6 +1,6 @@
 """Named periods as half-open bounds, in an organisation's time zone and week.
 
-Bounds are naive wall-clock datetimes in that zone; ``instant`` turns them into moments.
+Bounds are naive wall-clock datetimes in that zone; they become moments where a column holds moments (expressions.literal).
 """
 
 from __future__ import annotations
@@ -43,9 +43,8 @@ class Clock:
 
 
 def instant(wall: datetime, zone: str) -> datetime:
-    """The moment of a wall-clock time; in a gap, the first moment after it."""
-    at = wall.replace(tzinfo=ZoneInfo(zone)).astimezone(timezone.utc)
-    return at
+    """The moment of a wall-clock time in a zone (in a gap, the first moment after it); what has a zone already is that moment."""
+    return (wall if wall.tzinfo else wall.replace(tzinfo=ZoneInfo(zone))).astimezone(timezone.utc)
 
 
 def _day(t: datetime) -> datetime:
@@ -111,7 +110,10 @@ def _span(p: Parts, clock: Clock) -> tuple[datetime, datetime]:
 
 
 def period_bounds(spec: PeriodSpec, clock: Clock) -> tuple[datetime | None, datetime | None]:
-    """[start, end) of a period; None is open. this_* ends at as_of, last_* is the whole calendar period."""
+    """[start, end) of a period; None is open. this_* and since end at as_of, last_* is the whole calendar period.
+
+    A day that a shorter month lacks is that month's last (three months before 31 May is 28 or 29 February).
+    """
     now, key = clock.as_of, spec.key
     if key == "none":
         return None, None
@@ -131,7 +133,7 @@ def period_bounds(spec: PeriodSpec, clock: Clock) -> tuple[datetime | None, date
     if key in ("specific_month", "specific_quarter", "specific_year", "specific_day"):
         return _span(spec.first, clock)
     if key == "since_date":
-        return _span(spec.first, clock)[0], None
+        return _span(spec.first, clock)[0], now
     if key == "before_date":
         return None, _span(spec.first, clock)[0]
     if key == "between_dates":

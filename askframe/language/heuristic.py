@@ -9,6 +9,7 @@ import re
 from .details import METRICS, TEXT_CUES, spoken
 from .lexicon import alike, content, humanize, stem, tokens
 from .oracle import Answer, Question, Questions, normalized
+from .spans import UNITS
 
 # Cue words by option.
 AGG_CUES = {"sum": r"\b(total|sum|revenue|overall|how much)\b", "avg": r"\b(average|mean|avg|typical)\b", "median": r"\bmedian\b", "min": r"\b(lowest|minimum|min|smallest|cheapest|earliest|shortest)\b", "max": r"\b(highest|maximum|max|largest|biggest|most expensive|latest|longest)\b"}
@@ -186,7 +187,8 @@ class HeuristicOracle:
         a, z = map(int, about.split("@")[1].split("-"))
         before, after = r[max(0, a - 25) : a].lower(), re.sub(r"^\s*and\s+[\d,.]+", "", r[z : z + 30].lower())
         w = dict.fromkeys(q.options, 0.0)
-        w["limit"] += 4 * bool(re.search(r"\b(top|first|bottom|best|worst|last|largest|highest)\s*$", before) or re.match(r"\s*(most recent|latest|newest|oldest|earliest|largest|biggest|smallest|cheapest|highest|lowest)\b", after))
+        timed = re.match(rf"[\s-]*(?:{'|'.join(UNITS)})s?\b", after)
+        w["limit"] += 4 * bool(not timed and re.search(r"\b(top|first|bottom|best|worst|last|largest|highest)\s*$", before) or re.match(r"\s*(most recent|latest|newest|oldest|earliest|largest|biggest|smallest|cheapest|highest|lowest)\b", after))
         over = bool(re.search(r"\b(over|more than|at least|above|under|below|less than|fewer than|at most|exactly|greater than|exceed\w*|minimum|between|and)\W*$", before))
         counted = any(stem(t) in state.get("tables", ()) for t in tokens(after)[:2])
         w["having"] += 3.5 * (over and counted)

@@ -8,8 +8,13 @@ from dataclasses import dataclass
 from ..functions.periods import Parts, PeriodSpec
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-_MONTH = "(?:" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")"
-NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())} | {"dozen": 12, "hundred": 100}
+_MONTH = "(?:" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + "|sept)"
+_SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = {w: i for i, w in enumerate(_SMALL)} | {w: 10 * i for i, w in enumerate(_TENS, 2)} | {"dozen": 12, "hundred": 100}
+#: Units of periods; quarters are counted in months.
+UNITS = {"day": ("days", 1), "week": ("weeks", 1), "month": ("months", 1), "quarter": ("months", 3), "year": ("years", 1)}
+_UNIT = "(?:" + "|".join(UNITS) + ")"
 _SCALE = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "bn": 1e9, "billion": 1e9}
 _ORDINAL = {"first": 1, "second": 2, "third": 3, "fourth": 4}
 
@@ -49,10 +54,31 @@ def _date(text: str) -> tuple[str, Parts] | None:
 
 
 _DATE = rf"\d{{4}}-\d\d(?:-\d\d)?|q[1-4](?:\s+\d{{4}})?|(?:first|second|third|fourth) quarter(?: of)?(?:\s+\d{{4}})?|{_MONTH}\b(?:\s+\d{{1,2}}(?:st|nd|rd|th)?\b(?!\d))?(?:,?\s+\d{{4}})?|(?<![\d$.])(?:19|20)\d\d(?!\d)"
-_RELATIVE = r"today|yesterday|(?:this|last|previous|current)\s+(?:week|month|quarter|year)|(?:(?:in|over|during)\s+)?(?:the\s+)?(?:last|past|trailing)\s+(?:\d+|[a-z]+)\s+(?:days|weeks|months|years)|year to date|ytd"
+_AGO = "(?:last|past|previous|prior|trailing)"
+_RELATIVE = {
+    "day": r"\b(?P<key>today|yesterday)\b",
+    "to_date": rf"\b(?P<unit>year|month|quarter|week)[- ]to[- ]date\b|\b(?P<short>[ymqw]td)\b",
+    "counted": rf"\b(?:(?:in|over|during|for|within)\s+)?(?:the\s+)?{_AGO}\s+(?P<n>\d+|{'|'.join(NUMBERS)})[\s-]+(?P<unit>{_UNIT})s?\b",
+    "named": rf"\b(?:the\s+)?(?P<which>this|current|last|previous|prior|past|trailing)\s+(?P<unit>{_UNIT})\b",
+}
 _NUMBER = r"(?P<sign>\$)?(?P<digits>\d[\d,]*(?:\.\d+)?)\s?(?P<scale>k|thousand|m|million|bn|billion)?\b(?P<pct>\s?%)?|\b(?P<word>" + "|".join(w for w in NUMBERS if w != "zero") + r")\b"
 
 
+def _relative(kind: str, g: dict[str, str]) -> PeriodSpec:
+    """"last week" is the calendar week before this one; "past week" and "last 2 weeks" roll and end now."""
+    if kind == "day":
+        return PeriodSpec(g["key"])
+    if kind == "to_date":
+        return PeriodSpec("this_" + (g["unit"] or {"y": "year", "m": "month", "q": "quarter", "w": "week"}[g["short"][0]]))
+    if kind == "counted" or g["which"] in ("past", "trailing"):
+        units, times = UNITS[g["unit"]]
+        n = g.get("n", "1")
+        return PeriodSpec(f"trailing_n_{units}", times * (int(n) if n.isdigit() else NUMBERS[n]))
+    if g["unit"] == "day":
+        return PeriodSpec("today" if g["which"] in ("this", "current") else "yesterday")
+    return PeriodSpec(f"{'this' if g['which'] in ('this', 'current') else 'last'}_{g['unit']}")
+
+
 def extract_spans(request: str) -> list[Span]:
     """Spans in order; a stretch belongs to the first kind that claims it."""
     taken: list[tuple[int, int]] = []
@@ -76,16 +102,9 @@ def extract_spans(request: str) -> list[Span]:
     for m in re.finditer(rf"\b(since|after|before|until)\s+({_DATE})", request, re.I):
         if d := _date(m[2]):
             add("date", "date", m, PeriodSpec("since_date" if m[1].lower() in ("since", "after") else "before_date", first=d[1]))
-    for m in re.finditer(_RELATIVE, request, re.I):
-        words = re.sub(r"^(in|over|during)?\s*(the\s+)?", "", m[0].lower()).split()
-        if words[0] in ("today", "yesterday"):
-            add("relative", "rt", m, PeriodSpec(words[0]))
-        elif words[0] in ("year", "ytd"):
-            add("relative", "rt", m, PeriodSpec("this_year"))
-        elif len(words) == 2:
-            add("relative", "rt", m, PeriodSpec(f"{'this' if words[0] in ('this', 'current') else 'last'}_{words[1]}"))
-        elif words[1].isdigit() or words[1] in NUMBERS:
-            add("relative", "rt", m, PeriodSpec(f"trailing_n_{words[2]}", int(words[1]) if words[1].isdigit() else NUMBERS[words[1]]))
+    for kind, pattern in _RELATIVE.items():
+        for m in re.finditer(pattern, request, re.I):
+            add("relative", "rt", m, _relative(kind, {k: (v or "").lower() for k, v in m.groupdict().items()}))
     for m in re.finditer(rf"\b(?:{_DATE})", request, re.I):
         if (d := _date(m[0])) and not (m[0].lower() == "may" and not request[m.start()].isupper()):
             add("date", "date", m, PeriodSpec(d[0], first=d[1]))

@@ -7,10 +7,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import aggregate, in_period, predicate, seconds, truncated
+from ..functions.expressions import aggregate, in_period, predicate, raw_aggregate, seconds, truncated
 from ..plans.types import Existence, Measure, Period, Predicate, QueryPlan
+from ..shared import spill
+from ..sources.catalog import plain_names
 from ..sources.model import SchemaModel, split_ref
-from .analyze import Group, PlanError, Unreachable, all_measures, analyze, dimension_table, downs, resolve
+from .analyze import Group, PlanError, Unreachable, all_measures, analyze, dimension_table, downs, resolve, same_measure
 from .graph import JoinGraph, Path
 
 
@@ -19,6 +21,13 @@ class Settings:
     max_rows: int = 5000
     lookup_rows: int = 1000
     ranking_rows: int = 10
+    zone: str = "UTC"  # of wall-clock times, where columns hold moments
+    max_bytes: int = 1 << 40  # that a plan may read
+    timeout_s: float = 15.0
+
+
+#: The column that HAVING compares: in the measure's own units, unrounded, not shown.
+HAVING = "_having"
 
 
 @dataclass(frozen=True)
@@ -62,7 +71,7 @@ class Scope:
         return self.b.test(self.col(p.column), p)
 
     def within(self, p: Period) -> Column:
-        return in_period(self.col(p.column), p, self.b.model.column(p.column))
+        return in_period(self.col(p.column), p, self.b.model.column(p.column), self.b.settings.zone)
 
     def all_of(self, filters: tuple[Predicate, ...], period: Period | None = None) -> Column | None:
         conds = [self.condition(f) for f in dict.fromkeys(filters)] + ([self.within(period)] if period else [])
@@ -78,7 +87,7 @@ class Scope:
 
 class Builder:
     def __init__(self, model: SchemaModel, frames: dict[str, DataFrame], settings: Settings | None = None):
-        self.model, self.frames, self.settings = model, frames, settings or Settings()
+        self.model, self.frames, self.settings = model, {n: plain_names(df) for n, df in frames.items()}, settings or Settings()
         self.graph = JoinGraph(model)
 
     def frame(self, table: str, alias: str) -> DataFrame:
@@ -103,7 +112,7 @@ class Builder:
         if p.hierarchy:
             below = self.descendants(p.column, p.values)
             return c.isin(*p.values) if below is None else c.isin(below)
-        return predicate(c, p, column)
+        return predicate(c, p, column, self.settings.zone)
 
     def descendants(self, ref: str, values: tuple) -> DataFrame | None:
         """The values and, along the table's self-reference, the values of all rows below them (cycles end); None without a self-reference."""
@@ -112,15 +121,11 @@ class Builder:
         if rel is None:
             return None
 
-        def kept(df: DataFrame) -> DataFrame:
-            """Computed once: without that the plan doubles with every level."""
-            return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-        rows = kept(self.frames[table].select(F.col(rel.parent_cols[0]).alias("id"), F.col(rel.child_cols[0]).alias("up"), F.col(name).alias("value")))
-        found = edge = kept(rows.filter(F.col("value").isin(*values)).select("id").distinct())
-        while not edge.isEmpty():
-            edge = kept(rows.join(edge.withColumnRenamed("id", "up"), "up", "left_semi").select("id").distinct().join(found, "id", "left_anti"))
-            found = kept(found.union(edge))
+        rows = spill(self.frames[table].select(F.col(rel.parent_cols[0]).alias("id"), F.col(rel.child_cols[0]).alias("up"), F.col(name).alias("value")), "hierarchy")
+        found = edge = spill(rows.filter(F.col("value").isin(*values)).select("id").distinct(), "level")
+        while not edge.isEmpty():  # a level a round; without the tables the plan would double with every level
+            edge = spill(rows.join(edge.withColumnRenamed("id", "up"), "up", "left_semi").select("id").distinct().join(found, "id", "left_anti"), "level")
+            found = found.union(edge)
         return rows.join(found, "id", "left_semi").select("value").distinct()
 
     def _conditions(self, s: Scope, plan: QueryPlan, measures: list[Measure], skip: frozenset[str] = frozenset()) -> None:
@@ -196,7 +201,7 @@ class Builder:
         if e.period:
             table, name = split_ref(e.period.column)
             c = F.col(f"{end}__{name}") if table == e.table else inner.col(e.period.column)
-            inner.where(in_period(c, e.period, self.model.column(e.period.column)))
+            inner.where(in_period(c, e.period, self.model.column(e.period.column), self.settings.zone))
         keys = inner.df.select(*(F.col(f"t0__{c}").alias(f"x__{c}") for c in step.rel.child_cols))
         on = [F.col(f"{outer}__{p}") == F.col(f"x__{c}") for p, c in zip(step.rel.parent_cols, step.rel.child_cols, strict=True)]
         s.df = s.df.join(keys, on, "left_anti" if e.negated else "left_semi")
@@ -205,14 +210,15 @@ class Builder:
 
     def _dimension(self, s: Scope, d) -> list[tuple[str, Column]]:
         if d.kind == "time":
-            return [(d.alias, truncated(s.col(d.column), d.grain, self.model.column(d.column)))]
+            return [(d.alias, truncated(s.col(d.column), d.grain, self.model.column(d.column), self.settings.zone))]
         if d.kind == "entity":
             t = self.model.tables[d.table]
             names = [*t.pk, *(c for c in t.display if c not in t.pk)]
             return [(n, s.col(f"{d.table}.{n}")) for n in names]
         return [(d.alias, s.col(d.column))]
 
-    def _measure(self, s: Scope, m: Measure, shared: list[Predicate], left: str | None = None) -> Column:
+    def _measure(self, s: Scope, m: Measure, shared: list[Predicate], left: str | None = None, raw: bool = False) -> Column:
+        """raw: in the column's own units and unrounded, as HAVING compares it."""
         cond = s.all_of(tuple(f for f in m.filters if f not in shared), m.period)
 
         def picked(c: Column) -> Column:
@@ -224,18 +230,31 @@ class Builder:
                 name = f"span_{m.alias}"  # an observed value; the function takes a name
                 s.df = s.df.withColumn(name, span)
                 return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}`)").cast("long")
-            return F.round(F.avg(span), 2) if m.agg == "avg" else {"min": F.min, "max": F.max, "sum": F.sum}[m.agg](span)
+            return (F.avg(span) if raw else F.round(F.avg(span), 2)) if m.agg == "avg" else {"min": F.min, "max": F.max, "sum": F.sum}[m.agg](span)
         if m.column is None:
             if left:
                 return F.count(picked(F.col(left)))
             if s.root != m.table:
                 return F.count_distinct(picked(s.col(f"{m.table}.{self.model.tables[m.table].pk[0]}")))
             return F.count(picked(F.lit(1)))
-        return aggregate(m.agg, picked(s.col(m.column)), self.model.column(m.column), left is not None)
+        c, column = picked(s.col(m.column)), self.model.column(m.column)
+        return raw_aggregate(m.agg, c, column) if raw else aggregate(m.agg, c, column, left is not None)
+
+    def _having(self, s: Scope, plan: QueryPlan, measures: list[Measure], shared: list[Predicate], left: str | None = None) -> list[Column]:
+        """The hidden column, if the measure compared is one of these; one compared over two periods goes by the current one."""
+        if not plan.having:
+            return []
+        wanted = replace(plan.having.measure, period=plan.compare[0]) if plan.compare else plan.having.measure
+        m = next((m for m in measures if same_measure(m, wanted)), None)
+        if m is None:
+            return []
+        raw = self._measure(s, m, shared, left, raw=True)
+        return [(F.coalesce(raw, F.lit(0)) if left and m.agg == "sum" else raw).alias(HAVING)]
 
     def _grouped(self, s: Scope, plan: QueryPlan, measures: list[Measure], dims: list[tuple[str, Column]], left: str | None = None) -> tuple[DataFrame, list[OutputColumn]]:
         shared = self._shared(measures)
         aggs = [self._measure(s, m, shared, left).alias(m.alias) for m in measures] or [F.count(F.lit(1)).alias("count")]
+        aggs += self._having(s, plan, measures, shared, left)
         df = s.df.groupBy(*(c.alias(n) for n, c in dims)).agg(*aggs) if dims else s.df.agg(*aggs)
         return df, [*(OutputColumn(n, "dimension") for n, _ in dims), *(OutputColumn(m.alias, "measure") for m in measures or [Measure("count", "count_rows", s.root)])]
 
@@ -282,7 +301,7 @@ class Builder:
         s.df = s.df.join(rows, [F.col(f"t0__{p}") == F.col(f"m_{link}__{c}") for p, c in zip(last.rel.parent_cols, last.rel.child_cols, strict=True)], "left")
         inner = _Renamed(child, s)
         shared = self._shared(g.measures)
-        aggs = [self._measure(inner, m, shared, "m_present").alias(m.alias) for m in g.measures]
+        aggs = [self._measure(inner, m, shared, "m_present").alias(m.alias) for m in g.measures] + self._having(inner, plan, g.measures, shared, "m_present")
         return s.df.groupBy(*(c.alias(n) for n, c in dims)).agg(*aggs), [*(OutputColumn(n, "dimension") for n, _ in dims), *(OutputColumn(m.alias, "measure") for m in g.measures)]
 
     def _multi(self, plan: QueryPlan, groups: list[Group]) -> tuple[DataFrame, list[OutputColumn]]:
@@ -300,9 +319,7 @@ class Builder:
     def _finish(self, plan: QueryPlan, df: DataFrame, columns: list[OutputColumn]) -> tuple[DataFrame, list[OutputColumn]]:
         dims = [c.name for c in columns if c.role == "dimension"]
         if plan.having:
-            c, v = F.col(self._sorted_by(plan, plan.having.measure.alias)), [F.lit(x) for x in plan.having.values]
-            op = {"eq": "__eq__", "gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}.get(plan.having.op)
-            df = df.filter(c.between(*v) if plan.having.op == "between" else getattr(c, op)(v[0]))
+            df = df.filter(self._compares(F.col(HAVING), plan.having.op, [F.lit(x) for x in plan.having.values])).drop(HAVING)
         if plan.per_group:
             df = self._per_group(plan, df, columns)
         df = self._ordered(plan, df, columns)
@@ -316,6 +333,26 @@ class Builder:
         keep = [c for c in columns if c.name not in hidden]
         return df.select(*(c.name for c in keep)), keep
 
+    @staticmethod
+    def _compares(c: Column, op: str, v: list[Column]) -> Column:
+        """A negative test keeps groups without a value, as it does for rows."""
+        match op:
+            case "eq":
+                return c == v[0]
+            case "neq":
+                return (c != v[0]) | c.isNull()
+            case "gt":
+                return c > v[0]
+            case "gte":
+                return c >= v[0]
+            case "lt":
+                return c < v[0]
+            case "lte":
+                return c <= v[0]
+            case "between":
+                return c.between(v[0], v[1])
+        raise PlanError(f"groups can't be tested with {op}")
+
     def _implied(self, plan: QueryPlan) -> set[str]:
         """Keys of entities whose one display column tells the rows apart: grouped by, but not shown."""
         out: set[str] = set()
@@ -443,7 +480,7 @@ class _Renamed:
             c = self.child.b.test(self.col(f.column), f)
             out = c if out is None else out & c
         if period:
-            c = in_period(self.col(period.column), period, self.child.b.model.column(period.column))
+            c = in_period(self.col(period.column), period, self.child.b.model.column(period.column), self.child.b.settings.zone)
             out = c if out is None else out & c
         return out
 

@@ -2,46 +2,30 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 NONE_FLOOR, ROLE_FLOOR, NONE_PRIOR = 1e-6, 1e-9, 0.05
 
 
 def assignment(cost: list[list[float]]) -> list[int]:
-    """For each row the column of the cheapest one-to-one assignment (rows <= columns): shortest augmenting paths with potentials."""
-    n, m = len(cost), len(cost[0]) if cost else 0
-    if n > m:
+    """For each row the column of the cheapest one-to-one assignment (rows <= columns).
+
+    Rows are few, so partial assignments are grown cheapest first; what the open rows cost at least is the sum of their cheapest
+    columns, and the first complete assignment to come up is the best.
+    """
+    if cost and len(cost) > len(cost[0]):
         raise ValueError("more rows than columns")
-    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
-    for row in range(1, n + 1):
-        match[0], at = row, 0
-        least, done, via = [math.inf] * (m + 1), [False] * (m + 1), [0] * (m + 1)
-        while match[at]:
-            done[at] = True
-            r, best, nxt = match[at], math.inf, 0
-            for j in range(1, m + 1):
-                if done[j]:
-                    continue
-                c = cost[r - 1][j - 1] - u[r] - v[j]
-                if c < least[j]:
-                    least[j], via[j] = c, at
-                if least[j] < best:
-                    best, nxt = least[j], j
-            for j in range(m + 1):
-                if done[j]:
-                    u[match[j]] += best
-                    v[j] -= best
-                else:
-                    least[j] -= best
-            at = nxt
-        while at:
-            match[at] = match[via[at]]
-            at = via[at]
-    out = [0] * n
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
+    rest = [sum(min(r) for r in cost[i:]) for i in range(len(cost) + 1)]
+    grown: list[tuple[float, float, tuple[int, ...]]] = [(rest[0], 0.0, ())]
+    while True:
+        _, spent, chosen = heapq.heappop(grown)
+        n = len(chosen)
+        if n == len(cost):
+            return list(chosen)
+        for j, c in enumerate(cost[n]):
+            if j not in chosen:
+                heapq.heappush(grown, (spent + c + rest[n + 1], spent + c, (*chosen, j)))
 
 
 def assign_spans(probs: dict[str, dict[str, float]], reusable: frozenset[str] = frozenset()) -> dict[str, str | None]:

@@ -10,13 +10,14 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.periods import Clock, Parts, PeriodSpec, period_bounds, shift_years
 from .language.composer import Composer
 from .operators.analyze import PlanError
-from .operators.builder import Builder
+from .operators.builder import Builder, Settings
 from .plans.types import Dimension, Existence, Having, Measure, Order, Period, Predicate, QueryPlan
-from .sources.model import ColumnModel, Relationship, TableModel
+from .sources.model import ColumnModel, Relationship, TableModel, Unit
 from .sources.profile import profile
 from .sources.tpch import tpch_frames, tpch_model
 
@@ -63,7 +64,7 @@ def _filtered(*filters: Predicate, table: str = "orders") -> QueryPlan:
 
 _THIS, _LAST = period_bounds(PeriodSpec("this_year"), CLOCK), shift_years(period_bounds(PeriodSpec("this_year"), CLOCK), -1)
 
-D = "o_totalprice::DECIMAL(18,2)"
+D = "o_totalprice::VARCHAR::DECIMAL(38,12)"
 TREND = f"SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, sum({D})::DOUBLE AS total FROM orders WHERE o_orderdate >= '2001-01-01' AND o_orderdate < '2001-07-16' GROUP BY 1"
 
 
@@ -93,7 +94,7 @@ PLANS: dict[str, tuple[QueryPlan, str]] = {
     "orders_specific_month": (_count_in("specific_month", first=Parts(month=7)), _n("o_orderdate >= '2000-07-01' AND o_orderdate < '2000-08-01'")),
     "orders_specific_quarter": (_count_in("specific_quarter", first=Parts(2000, quarter=2)), _n("o_orderdate >= '2000-04-01' AND o_orderdate < '2000-07-01'")),
     "orders_specific_day": (_count_in("specific_day", first=Parts(2000, 3, 5)), _n("o_orderdate >= '2000-03-05' AND o_orderdate < '2000-03-06'")),
-    "orders_since": (_count_in("since_date", first=Parts(2001, 3)), _n("o_orderdate >= '2001-03-01'")),
+    "orders_since": (_count_in("since_date", first=Parts(2001, 3)), _n("o_orderdate >= '2001-03-01' AND o_orderdate < '2001-07-16'")),
     "orders_before": (_count_in("before_date", first=Parts(1996)), _n("o_orderdate < '1996-01-01'")),
     "orders_between": (_count_in("between_dates", first=Parts(1999, 2), last=Parts(1999, 4)), _n("o_orderdate >= '1999-02-01' AND o_orderdate < '1999-05-01'")),
     "orders_per_month": (QueryPlan("trend", measures=[N_ORDERS], dimensions=[MONTH], window=_on(ORDERED, "this_year")), "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n FROM orders WHERE o_orderdate >= '2001-01-01' AND o_orderdate < '2001-07-16' GROUP BY 1"),
@@ -110,7 +111,7 @@ PLANS: dict[str, tuple[QueryPlan, str]] = {
     },
     "top_brands_per_nation": (
         QueryPlan("ranking", measures=[_m("quantity", "sum", "lineitem.l_quantity")], dimensions=[NATION, _dim("part.p_brand", "brand")], per_group=("nation", 3), paths={"lineitem->nation": ("lineitem.l_suppkey->supplier", "supplier.s_nationkey->nation")}),
-        "WITH g AS (SELECT n_name AS nation, p_brand AS brand, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT nation, brand, quantity FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY quantity DESC, brand) AS r FROM g) WHERE r <= 3",
+        "WITH g AS (SELECT n_name AS nation, p_brand AS brand, sum(l_quantity::VARCHAR::DECIMAL(38,12))::DOUBLE AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT nation, brand, quantity FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY quantity DESC, brand) AS r FROM g) WHERE r <= 3",
     ),
     "latest_order_per_customer": (
         QueryPlan("lookup", "orders", projections=["orders.o_custkey", "orders.o_orderkey", ORDERED], distinct_on=("orders.o_custkey", ORDERED, True), window=_on(ORDERED, "last_quarter")),
@@ -145,7 +146,15 @@ PLANS: dict[str, tuple[QueryPlan, str]] = {
     ),
     "parts_over_quantity": (
         QueryPlan("breakdown", dimensions=[Dimension("part", kind="entity", table="part")], having=Having(Measure("quantity", "sum", "lineitem", "lineitem.l_quantity"), "gt", (1100,))),
-        "SELECT p_partkey, p_name, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING quantity > 1100 ORDER BY quantity DESC, p_partkey LIMIT 5000",
+        "SELECT p_partkey, p_name, sum(l_quantity::VARCHAR::DECIMAL(38,12))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING quantity > 1100 ORDER BY quantity DESC, p_partkey LIMIT 5000",
+    ),
+    "having_neq": (
+        QueryPlan("breakdown", measures=[N_ORDERS], dimensions=[_dim("customer.c_custkey")], having=Having(N_ORDERS, "neq", (10,))),
+        "SELECT c_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) <> 10 ORDER BY n DESC, c_custkey LIMIT 5000",
+    ),
+    "having_lookup": (
+        QueryPlan("lookup", "customer", dimensions=[Dimension("customer", kind="entity", table="customer")], having=Having(_m("average", "avg", "orders.o_totalprice"), "gte", (300000,))),
+        f"SELECT c_custkey, c_name, round(sum({D})::DOUBLE / count(o_totalprice), 2) AS average FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING sum({D}) >= 300000 * count(o_totalprice) ORDER BY average DESC, c_custkey LIMIT 5000",
     ),
     "having_between": (
         QueryPlan("breakdown", measures=[N_ORDERS], dimensions=[NATION], having=Having(N_ORDERS, "between", (500, 650))),
@@ -223,6 +232,51 @@ def brand_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TREE = "WITH RECURSIVE d(id) AS (SELECT 5 UNION SELECT p_size FROM part JOIN d ON p_size // 2 = id AND p_size > 1) SELECT p_brand, count(*) AS n FROM part WHERE p_size IN (SELECT id FROM d) GROUP BY 1"
 
 
+def _changed(spark: SparkSession, sf_dir: str, table: str, column: str, value, type_: str, zone: str = "UTC", **more) -> Builder:
+    """The engine with a column computed anew."""
+    b = engine(spark, sf_dir)
+    frames = b.frames | {table: b.frames[table].withColumn(column, value)}
+    b.model.tables[table].columns[column] = ColumnModel(column, "timestamp" if type_ == "timestamp" else "number", type_, **more)
+    return Builder(b.model, frames, Settings(zone=zone))
+
+
+def sum_small_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousandths of a cent are not lost."""
+    b = _changed(spark, sf_dir, "events", "value", F.round(F.col("value") / 1000, 6), "double", role="measure_additive")
+    return b.build(QueryPlan("breakdown", measures=[_m("total", "sum", "events.value")], dimensions=[_dim("events.event_type")]))
+
+
+def avg_unrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the average is rounded, not what it is of."""
+    b = _changed(spark, sf_dir, "events", "value", F.round(F.col("value") / 8, 6), "double", role="measure_additive")
+    return b.build(QueryPlan("breakdown", measures=[_m("average", "avg", "events.value")], dimensions=[_dim("events.event_type")]))
+
+
+def having_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cents are shown as money and compared as cents."""
+    b = _changed(spark, sf_dir, "orders", "total_cents", F.round(F.col("o_totalprice") * 100).cast("long"), "bigint", role="measure_additive", unit=Unit("money", 100))
+    total = _m("total", "sum", "orders.total_cents")
+    return b.build(QueryPlan("breakdown", measures=[total], dimensions=[_dim("customer.c_custkey")], having=Having(total, "gt", (400_000_000,))))
+
+
+def events_per_day_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments by the day of another zone, in a window of that zone's wall-clock times."""
+    moments = F.expr("timestamp_seconds(0) + (ts - timestamp_ntz'1970-01-01 00:00:00')")
+    b = _changed(spark, sf_dir, "events", "ts", moments, "timestamp", "America/Los_Angeles", role="timestamp_event")
+    return b.build(QueryPlan("trend", measures=[Measure("n", "count_rows", "events", kind="count")], dimensions=[Dimension("day", "events.ts", "time", "day")], window=_on("events.ts", "trailing_n_days", EVENTS, n=14)))
+
+
+_SMALL = "(value::VARCHAR::DECIMAL(18,6) * {}::DECIMAL(4,3))"
+_CENTS = "round(o_totalprice * 100)::BIGINT"
+#: name -> (query, SQL)
+CHANGED = {
+    "sum_small_fractions": (sum_small_fractions, f"SELECT event_type, sum({_SMALL.format(0.001)})::DOUBLE AS total FROM events GROUP BY 1"),
+    "avg_unrounded": (avg_unrounded, f"SELECT event_type, round(sum({_SMALL.format(0.125)})::DOUBLE / count(value), 2) AS average FROM events GROUP BY 1"),
+    "having_scaled": (having_scaled, f"SELECT c_custkey, round(sum({_CENTS})::DOUBLE / 100, 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING sum({_CENTS}) > 400000000 ORDER BY total DESC, c_custkey LIMIT 5000"),
+    "events_per_day_zone": (events_per_day_zone, "SELECT date_trunc('day', ts - INTERVAL 8 HOUR)::TIMESTAMP AS day, count(*) AS n FROM events WHERE ts - INTERVAL 8 HOUR >= '2024-01-15' AND ts - INTERVAL 8 HOUR < '2024-01-29' GROUP BY 1"),
+}
+
+
 @functools.lru_cache(maxsize=4)
 def _composer(application: str, sf_dir: str) -> Composer:
     """Profiled once for each application and folder; the profile is what words are matched with."""
@@ -251,7 +305,7 @@ _MONTHS = f"SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, sum({D}
 REQUESTS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "ask_count": ("How many orders were placed last month?", (), _n("o_orderdate >= '2001-06-01' AND o_orderdate < '2001-07-01'")),
     "ask_two_measures": ("Number of orders and total order value by nation last quarter", (), f"SELECT n_name, count(*) AS n, sum({D})::DOUBLE AS sum_o_totalprice FROM {_NATION} WHERE o_orderdate >= '2001-04-01' AND o_orderdate < '2001-07-01' GROUP BY 1"),
-    "ask_two_aggregates": ("Average quantity and total quantity by return flag", (), "SELECT l_returnflag, round(sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(l_quantity), 2) AS avg_l_quantity, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_l_quantity FROM lineitem GROUP BY 1"),
+    "ask_two_aggregates": ("Average quantity and total quantity by return flag", (), "SELECT l_returnflag, round(sum(l_quantity::VARCHAR::DECIMAL(38,12))::DOUBLE / count(l_quantity), 2) AS avg_l_quantity, sum(l_quantity::VARCHAR::DECIMAL(38,12))::DOUBLE AS sum_l_quantity FROM lineitem GROUP BY 1"),
     "ask_columns": ("List the name and size of parts in Brand#12", (), "SELECT p_name, p_size FROM part WHERE p_brand = 'Brand#12' ORDER BY p_partkey LIMIT 1000"),
     "ask_distinct": ("List the distinct status of orders", (), "SELECT DISTINCT o_orderstatus FROM orders"),
     "ask_contains": ('How many parts have a name containing "widget"?', (), _n("p_name ILIKE '%widget%'", "part")),
@@ -270,7 +324,12 @@ REQUESTS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "ask_fewest": ("Which brand has the fewest orders?", (), "SELECT p_brand, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n, p_brand LIMIT 1"),
     "ask_median": ("Median total price by priority", (), "SELECT o_orderpriority, round(median(o_totalprice), 2) AS median_o_totalprice FROM orders GROUP BY 1"),
     "ask_business_term": ("Total revenue by priority", ("column:orders.o_totalprice",), f"SELECT o_orderpriority, sum({D})::DOUBLE AS sum_o_totalprice FROM orders GROUP BY 1"),
-    "ask_fan_out": ("Total order value by brand", ("column:lineitem.l_extendedprice",), "SELECT p_brand, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS sum_l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"),
+    "ask_fan_out": ("Total order value by brand", ("column:lineitem.l_extendedprice",), "SELECT p_brand, sum(l_extendedprice::VARCHAR::DECIMAL(38,12))::DOUBLE AS sum_l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"),
+    "ask_threshold_row": ("orders over $495,000", (), "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_totalprice > 495000 ORDER BY o_orderkey LIMIT 1000"),
+    "ask_threshold_group": ("Total order value by customer over $4,000,000", (), f"SELECT c_name, sum({D})::DOUBLE AS sum_o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_name HAVING sum({D}) > 4000000 ORDER BY 2 DESC, c_custkey LIMIT 5000"),
+    "ask_mtd": ("Number of orders month to date", (), _n("o_orderdate >= '2001-07-01' AND o_orderdate < '2001-07-16'")),
+    "ask_last_quarters": ("How many orders were placed in the last 2 quarters?", (), _n("o_orderdate >= '2001-01-16' AND o_orderdate < '2001-07-16'")),
+    "ask_past_week": ("How many orders in the past week?", (), _n("o_orderdate >= '2001-07-09' AND o_orderdate < '2001-07-16'")),
     "ask_latest_each": ("List the latest order of each customer", (), "SELECT o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000"),
 }
 
@@ -278,8 +337,8 @@ REQUESTS: dict[str, tuple[str, tuple[str, ...], str]] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, plan=plan: engine(spark, sf_dir).build(plan)) for name, (plan, _) in PLANS.items()}
     spoken = {name: (lambda spark, sf_dir, r=r, a=a: asked(spark, sf_dir, r, a)) for name, (r, a, _) in REQUESTS.items()}
-    return out | spoken | {"hierarchy_descendants": brand_hierarchy}
+    return out | spoken | {name: f for name, (f, _) in CHANGED.items()} | {"hierarchy_descendants": brand_hierarchy}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in PLANS.items()} | {name: sql for name, (_, _, sql) in REQUESTS.items()} | {"hierarchy_descendants": _TREE}
+    return {name: sql for name, (_, sql) in PLANS.items()} | {name: sql for name, (_, _, sql) in REQUESTS.items()} | {name: sql for name, (_, sql) in CHANGED.items()} | {"hierarchy_descendants": _TREE}

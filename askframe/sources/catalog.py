@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,25 @@ def kind_of(t: T.DataType) -> str:
     return "other"
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """Dots and backticks in column names become underscores (numbered where that clashes): a reference is table.column."""
+    names: list[str] = []
+    for n in df.columns:
+        plain = base = n.replace(".", "_").replace("`", "_")
+        i = 2
+        while plain in names or (plain != n and plain in df.columns):
+            plain, i = f"{base}_{i}", i + 1
+        names.append(plain)
+    return df if names == df.columns else df.toDF(*names)
+
+
+def parquet_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The Parquet tables of a folder, in any file system that Spark reads, by name without the ending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/*.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return {s.getPath().getName()[: -len(".parquet")].replace(".", "_"): plain_names(spark.read.parquet(s.getPath().toString())) for s in found}
+
+
 def columns_of(df: DataFrame) -> dict[str, ColumnModel]:
     return {f.name: ColumnModel(f.name, kind_of(f.dataType), f.dataType.simpleString(), f.nullable) for f in df.schema.fields}
 
@@ -28,7 +47,7 @@ def declare(frames, keys, references, display, times, money, additive, nonadditi
     """A model from declarations alone: no data is read."""
     model = SchemaModel()
     for name, df in frames.items():
-        t = TableModel(name, columns_of(df), tuple(k for k in (keys.get(name),) if k), tuple(d for d in (display.get(name),) if d), times.get(name))
+        t = TableModel(name, columns_of(plain_names(df)), tuple(k for k in (keys.get(name),) if k), tuple(d for d in (display.get(name),) if d), times.get(name))
         for c in t.columns.values():
             if c.name in t.pk:
                 c.role, c.primary, c.unique = "identifier", True, True

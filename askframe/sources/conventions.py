@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..language.lexicon import plural, singular, snake
-from .catalog import columns_of
+from .catalog import columns_of, plain_names
 from .model import ColumnModel, Relationship, SchemaModel, TableModel, Unit
 from .profile import ordered_share, profile
 
@@ -124,6 +124,7 @@ def _target(column: str, table: str, tables: dict[str, TableModel]) -> tuple[str
 def build_model(frames: dict[str, DataFrame], config: Config | None = None, scan: bool = True) -> SchemaModel:
     """A model of the frames; scan reads them for profiles, without it only names, types and declarations count."""
     cfg = config or Config()
+    frames = {n: plain_names(df) for n, df in frames.items()}
     model = SchemaModel()
     for name, df in frames.items():
         t = TableModel(name, columns_of(df), tuple(cfg.keys.get(name, ())))

@@ -51,7 +51,7 @@ def bounds(key, clock=NOW, **more):
         ("specific_month", {"first": Parts(month=11)}, ("2025-11-01", "2025-12-01")),
         ("specific_month", {"first": Parts(month=10)}, ("2025-10-01", "2025-11-01")),
         ("specific_quarter", {"first": Parts(2026, quarter=2)}, ("2026-04-01", "2026-07-01")),
-        ("since_date", {"first": Parts(2026, 3)}, ("2026-03-01", None)),
+        ("since_date", {"first": Parts(2026, 3)}, ("2026-03-01", "2026-10-05")),
         ("before_date", {"first": Parts(2026, 3)}, (None, "2026-03-01")),
         ("between_dates", {"first": Parts(2026, 3), "last": Parts(2026, 5)}, ("2026-03-01", "2026-06-01")),
         ("none", {}, (None, None)),
