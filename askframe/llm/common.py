@@ -1,10 +1,7 @@
-"""What the corpus operators share: spilling to the shared folder, folds, word splitting."""
+"""What the corpus operators share: spilling to the shared folder, free column names, folds, word splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,30 +9,28 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..deploy import ship
+from ..shared import shared_dir, spill
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z only; bytes.split() then splits on exactly [\x20\x09-\x0D].
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_OWN_DIR: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where unset, as in tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="askframe-"))
-    return _OWN_DIR[0]
+def quoted(name: str) -> Column:
+    """A column by its name, whatever the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: lineage ends here, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores put before them until no column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -61,3 +56,6 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow form of a DDL schema; whoever needs it runs Python on the executors, so the package is sent there."""
     ship(spark)
     return to_arrow_schema(T.StructType.fromDDL(ddl))
+
+
+__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "arrow_schema", "ascii_lower", "fold", "fresh", "partitions", "quoted", "shared_dir", "spill", "words_of"]

@@ -1,15 +1,17 @@
 """Exact top-k inner products with paged M-trees.
 
-Vectors are quantised to integers. Candidates are dealt to pages of a bounded size and each page becomes an M-tree: nodes
-hold a pivot, a covering radius and, for each entry, its distance to the pivot. Queries go to the pages in blocks and
-search best-first: <q, x> = <q, p> + <q, x - p> <= <q, p> + |q| * d(x, p) bounds an entry by its stored distance and a
-subtree by its covering radius, so products with entries that can't reach the k-th best score are never computed.
+Vectors are quantised to integers. Each candidate goes to the nearest of a bounded number of pivots, and a pivot's rows are
+dealt to pages of a bounded size. Each page becomes an M-tree once and is written to the shared folder: nodes hold a pivot, a
+covering radius and, for each entry, its distance to the pivot. Queries go in blocks by their nearest pivot; a block meets the
+pages of its own pivot first, carries its k-th best scores on from page to page, and searches each tree best-first:
+<q, x> = <q, p> + <q, x - p> <= <q, p> + |q| * d(x, p) bounds an entry by its stored distance and a subtree by its covering
+radius, so products with entries that can't reach the k-th best score are never computed.
 """
 
 from __future__ import annotations
 
 import heapq
-import struct
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, partitions
+from .common import arrow_schema, partitions, spill
 
 #: Vectors of a tree page; entries of a leaf; children of an inner node.
 PAGE, LEAF, FANOUT = 8192, 128, 16
 #: Queries of a block.
 BLOCK = 2048
+#: Rows that serve as pivots, at most: those with the smallest hash of their id. They only decide what lies together.
+PIVOTS = 256
+#: Products below this are exact in doubles; pages with larger components are multiplied as 64-bit integers, without bounds.
+EXACT = float(1 << 53)
+#: Tasks of a search; one takes several cells, one after the other.
+MOST_TASKS = 20_000
 
 
 def quantised(v: Column) -> Column:
@@ -37,7 +45,11 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], vectors[order].astype(np.float64)
+        self.ids, self.x, self.whole = ids[order], vectors[order].astype(np.float64), None
+        self.large = float(np.abs(self.x).max()) if vectors.size else 0.0
+        self.products = 0  # computed so far
+        if self.large**2 * max(1, vectors.shape[-1]) >= EXACT:
+            self.whole = vectors[order]
         #: per node: pivot (row), covering radius, rows with distances to the pivot (leaf), or children with theirs
         self.nodes: list[tuple[int, float, np.ndarray | None, np.ndarray | None, list[int], np.ndarray | None]] = []
         self.root = self._build(np.arange(len(ids)), 0) if len(ids) else -1
@@ -77,6 +89,11 @@ class Tree:
         if self.root < 0 or self.x.shape[1] != queries.shape[1]:
             return
         q = queries.astype(np.float64)
+        if self.whole is not None or (len(q) and np.abs(q).max(initial=0.0) * self.large * max(1, q.shape[1]) >= EXACT):
+            whole = self.x.astype(np.int64) if self.whole is None else self.whole
+            self.products += len(q) * len(whole)
+            best.add(np.arange(len(q)), self.ids, queries @ whole.T, own)
+            return
         length = np.sqrt((q * q).sum(1)) * (1 + 1e-12)
         pivot, radius, *_ = self.nodes[self.root]
         score = q @ self.x[pivot]
@@ -95,6 +112,7 @@ class Tree:
                     need = np.where(length[who] > 0, (best.least[who] - 1e-6 - score) / length[who], -np.inf).min()
                 skip = int(np.searchsorted(far, need - 1e-9)) if np.isfinite(need) else 0
                 rows = rows[skip:]
+                self.products += len(who) * len(rows)
                 best.add(who, self.ids[rows], q[who] @ self.x[rows].T, own)
                 continue
             for child, d in zip(children, to.tolist(), strict=True):
@@ -103,6 +121,7 @@ class Tree:
                 some = who[near]
                 if not len(some):
                     continue
+                self.products += len(some) * (self.nodes[child][0] != pivot)
                 s = score[near] if self.nodes[child][0] == pivot else q[some] @ self.x[self.nodes[child][0]]
                 up = s + length[some] * r
                 ok = up >= best.least[some] - 1e-6
@@ -118,11 +137,14 @@ class Best:
 
     def add(self, who: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
         k = self.k
-        scores = np.where(ids[None, :] == own[who][:, None], -np.inf, scores)  # rows with the query's own id, however many
+        none = -np.inf if scores.dtype.kind == "f" else np.iinfo(np.int64).min
+        scores = np.where(ids[None, :] == own[who][:, None], none, scores)  # rows with the query's own id, however many
         if scores.shape[1] > k:  # the k best and their ties are enough
             cut = np.maximum(self.least[who], np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
         else:
             cut = self.least[who]
+        if scores.dtype.kind != "f":  # compared as doubles: what rounding could hide stays in
+            cut = cut - np.abs(cut) * 1e-15 if np.isfinite(cut).all() else np.where(np.isfinite(cut), cut - np.abs(cut) * 1e-15, cut)
         r, c = np.nonzero(scores >= cut[:, None])
         for i, v, s in zip(who[r].tolist(), ids[c].tolist(), scores[r, c].tolist(), strict=True):
             if v == own[i]:
@@ -139,32 +161,59 @@ class Best:
         return [(int(own[i]), -v, int(s)) for i, best in enumerate(self.kept) for s, v in best]
 
 
-def _packed(df: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most size vectors of one length: their number, ids, components."""
-    out = arrow_schema(df.sparkSession, "blob binary")
+def _grouped(rows: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
+    """vec_id, x, g: the number of the nearest pivot of the vector's length, or -1."""
+    schema = "vec_id long, x array<long>, g int"
+    out = arrow_schema(rows.sparkSession, schema)
+    by_length: dict[int, list[int]] = {}
+    for i, p in enumerate(pivots):
+        by_length.setdefault(len(p), []).append(i)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                some = held.setdefault(len(v), [])
-                some.append((i, v))
-                if len(some) == size:
-                    yield pa.RecordBatch.from_arrays([pa.array([_blob(held.pop(len(v)))], pa.binary())], schema=out)
-        for some in held.values():
-            yield pa.RecordBatch.from_arrays([pa.array([_blob(some)], pa.binary())], schema=out)
+            x = [np.asarray(v.values, np.float64) for v in batch.column(1)]
+            g = np.full(len(x), -1, np.int32)
+            for n, which in by_length.items():
+                at = [i for i, v in enumerate(x) if len(v) == n]
+                for part in range(0, len(at) if n else 0, 1024):
+                    some, p = at[part : part + 1024], np.stack([pivots[i] for i in which]).astype(np.float64)
+                    v = np.stack([x[i] for i in some])
+                    g[some] = np.array(which, np.int32)[((p * p).sum(1)[None, :] - 2 * (v @ p.T)).argmin(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(g)], schema=out)
+
+    return rows.mapInArrow(deal, schema)
+
+
+def _packed(df: DataFrame, size: int, tree: bool) -> DataFrame:
+    """g, salt, blob: runs of at most size vectors of one page (g, salt) and one length, sorted by them; as trees, or as ids and components."""
+    out = arrow_schema(df.sparkSession, "g int, salt int, blob binary")
 
-    return df.mapInArrow(pack, "blob binary")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def packed() -> pa.RecordBatch:
+            ids, x = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64).reshape(len(held), -1)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([pickle.dumps(Tree(ids, x) if tree else (ids, x), 5)], pa.binary())], schema=out)
 
+        for batch in batches:
+            for g, salt, i, v in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                key = (g, salt, len(v))
+                if held and (key != now or len(held) == size):
+                    yield packed()
+                    held = []
+                now = key
+                held.append((i, v))
+        if held:
+            yield packed()
 
-def _blob(rows: list[tuple[int, list[int]]]) -> bytes:
-    ids = np.array([r[0] for r in rows], np.int64)
-    return struct.pack("<q", len(ids)) + ids.tobytes() + np.array([r[1] for r in rows], np.int64).astype(np.int64).tobytes()
+    return df.select("g", "salt", "vec_id", "x").sortWithinPartitions("g", "salt", F.size("x")).mapInArrow(pack, "g int, salt int, blob binary")
 
 
-def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = struct.unpack_from("<q", blob)[0]
-    return np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.int64, offset=8 + 8 * n).reshape(n, -1)
+def _dealt(rows: DataFrame, sizes: dict[int, int], size: int, n: int) -> DataFrame:
+    """rows with a salt that cuts each pivot's rows into shares of about size, on n partitions."""
+    shares = F.create_map(*(F.lit(v) for g, c in sizes.items() for v in (g, -(-c // size))))
+    salted = rows.withColumn("salt", F.floor(F.rand(7) * F.element_at(shares, F.col("g"))).cast("int"))
+    return salted.repartition(n, "g", "salt")
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -173,38 +222,64 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     vectors: vec_id, embedding. Defined cases: vectors that are null, or hold null or non-finite components, and null ids take
     no part; ties go to the smaller vec_id; a row is no candidate of a query with the same id; repeated rows of another id
     are candidates each, and repeated query rows ask each, so that their pairs are ranked together; vectors of another length than the query's are none; fewer candidates give fewer rows; empty vectors
-    score 0; further columns are not looked at.
+    score 0; further columns are not looked at. Scores are exact up to 64-bit integers.
     """
     spark = vectors.sparkSession
     n = partitions(spark)
     rows = vectors.select("vec_id", quantised(F.col("embedding")).alias("x")).filter("x is not null and vec_id is not null")
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(PIVOTS)  # PIVOTS rows reach the driver, at most
+    pivots = [np.array(x, np.float64) for x in dict.fromkeys(tuple(r.x) for r in chosen.collect())]
+    rows = spill(_grouped(rows, pivots), "vectors")
     queries = rows.filter(F.col("vec_id") % every == 0)
-    n_queries, n_rows = queries.count(), rows.count()
-    blocks, pages = max(1, -(-n_queries // BLOCK)), max(1, -(-n_rows // PAGE))
-    dealt = max(pages, min(n, -(-n_rows // 512)))
-    trees = _packed(rows.repartition(dealt, "vec_id", F.xxhash64("x")), PAGE)
-    asked = _packed(queries.repartition(blocks, "vec_id"), BLOCK).withColumn("b", F.pmod(F.xxhash64("blob"), F.lit(blocks)))
+    counts = rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()  # a row for each pivot
+    sizes, asks = {r.g: r.n for r in counts}, {r.g: r.q for r in counts if r.q}
     schema = "query_id long, vec_id long, score long"
+    if not asks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    page = min(PAGE, max(512, -(-sum(sizes.values()) // n)))
+    pages = sum(-(-c // page) for c in sizes.values())
+    trees = spill(_packed(_dealt(rows, sizes, page, max(1, min(pages, 8 * n))), PAGE, True), "trees")
+    blocks = spill(_packed(_dealt(queries, asks, BLOCK, n), BLOCK, False), "queries")
     out = arrow_schema(spark, schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree = None, None
+        cell, held = None, []  # the cell's blocks: ids, queries, best so far
+
+        def found() -> pa.RecordBatch:
+            got = [g for own, _, best in held for g in best.rows(own)]
+            return pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in range(3)], schema=out)
+
         for batch in batches:
-            for page, block in zip(batch.column(0), batch.column(1), strict=True):
-                page, block = page.as_py(), block.as_py()
-                if page != last:
-                    last, tree = page, Tree(*_unblob(page))
-                own, q = _unblob(block)
-                best = Best(len(own), k)
-                tree.search(q, own, best)
-                got = best.rows(own)
-                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in range(3)], schema=out)
-
-    # A grid: pages are copied along the query blocks and query blocks along the shares of pages, so each cell has a bounded part of both.
-    shares = min(dealt, n)
-    spread = trees.withColumn("s", F.pmod(F.xxhash64("blob"), F.lit(shares))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = asked.withColumnRenamed("blob", "block").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    cells = shares * blocks
-    met = spread.repartition(cells, "s", "b").join(asked.repartition(cells, "s", "b"), ["s", "b"]).select("blob", "block").mapInArrow(search, schema)
+            for s, b, kind, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                if (s, b) != cell:
+                    if held:
+                        yield found()
+                    cell, held = (s, b), []
+                got = pickle.loads(blob.as_buffer())
+                if kind:
+                    for own, q, best in held:
+                        got.search(q, own, best)
+                else:
+                    held.append((*got, Best(len(got[0]), k)))
+        if held:
+            yield found()
+
+    # A grid: pages are copied along the query blocks and query blocks along the shares of pages; a cell is read as a stream, queries first.
+    shares, width = max(1, min(pages, n)), {g: -(-c // BLOCK) for g, c in asks.items()}
+    base = dict(zip(width, np.cumsum([0, *width.values()]).tolist(), strict=False))
+    cells = sum(width.values())
+
+    def of(numbers: dict[int, int], otherwise: int) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in numbers.items() for v in pair)), F.col("g")), F.lit(otherwise))
+
+    def along(last: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(last - 1)))
+
+    asked = blocks.select(along(shares).alias("s"), (of(base, 0) + F.col("salt")).alias("b"), F.lit(0).alias("kind"), F.lit(0).alias("far"), "blob")
+    spread = trees.select("g", F.pmod(F.xxhash64("blob"), F.lit(shares)).cast("int").alias("s"), along(cells).alias("b"), "blob")
+    near = (F.col("b") >= of(base, -1)) & (F.col("b") < of(base, -1) + of(width, 0))
+    spread = spread.select("s", "b", F.lit(1).alias("kind"), F.when(near, 0).otherwise(1).alias("far"), "blob")
+    met = asked.unionByName(spread).repartition(min(shares * cells, MOST_TASKS), "s", "b").sortWithinPartitions("s", "b", "kind", "far")
+    found = met.select("s", "b", "kind", "blob").mapInArrow(search, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -106,11 +106,12 @@ iw AS (SELECT item_id, list_filter(string_split_regex({_LOWER.format("coalesce(t
 ds AS (SELECT doc_id, i AS p, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM dw, unnest(range(greatest(0, len(w) - 4))) t(i)),
 iss AS (SELECT item_id, len(w) - 4 AS m, i AS q, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM iw, unnest(range(greatest(0, len(w) - 4))) t(i)),
 n AS (SELECT doc_id, len(w) - 4 AS n FROM dw),
-places AS (SELECT DISTINCT doc_id, item_id, m, least(greatest(p - q, 0), greatest(n - m, 0)) AS start FROM ds JOIN iss USING (s) JOIN n USING (doc_id)),
-win AS (SELECT doc_id, item_id, m, start, s, count(*) AS c FROM places JOIN ds USING (doc_id) WHERE p >= start AND p < start + m GROUP BY ALL),
-ic AS (SELECT item_id, s, count(*) AS c FROM iss GROUP BY ALL),
-sim AS (SELECT w.doc_id, w.item_id, w.start, any_value(w.m) AS m, sum(w.c) AS n, sum(least(w.c, coalesce(ic.c, 0))) AS o FROM win w LEFT JOIN ic ON ic.item_id = w.item_id AND ic.s = w.s GROUP BY w.doc_id, w.item_id, w.start)
-SELECT doc_id, item_id, round(max(o::DOUBLE / (n + m - o)), 6) AS similarity FROM sim WHERE o::DOUBLE / (n + m - o) >= 0.8 GROUP BY doc_id, item_id
+ic AS (SELECT item_id, m, s, count(*) AS c FROM iss GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, m, n, p, s, c FROM ds JOIN n USING (doc_id) JOIN ic USING (s)),
+win AS (SELECT DISTINCT doc_id, item_id, m, n, start FROM hits, unnest(range(greatest(p - m + 1, 0), least(p, greatest(n - m, 0)) + 1)) t(start)),
+o AS (SELECT doc_id, item_id, w.m, w.n, start, s, least(count(*), any_value(c)) AS k FROM win w JOIN hits h USING (doc_id, item_id) WHERE p >= start AND p < start + w.m GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, m, n, start, sum(k) AS o FROM o GROUP BY ALL)
+SELECT doc_id, item_id, round(max(o::DOUBLE / (least(m, n) + m - o)), 6) AS similarity FROM sim WHERE o::DOUBLE / (least(m, n) + m - o) >= 0.8 GROUP BY doc_id, item_id
 """,
     "op4_line_dedup": f"""
 WITH l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) t(i)),

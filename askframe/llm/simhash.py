@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import arrow_schema, partitions, spill, words_of
+from .common import arrow_schema, partitions, quoted, spill, words_of
 from .components import components
 from .trie import _expand, trie_links
 
@@ -301,7 +301,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, similarity: fl
 
 
 def keep_one(docs: DataFrame, k: int = 5, radius: int = 18, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with one document of each near-duplicate group: the smallest doc_id, once. Rows without a doc_id stay."""
+    """docs, all columns, with one document of each near-duplicate group: the smallest doc_id, once.
+
+    Defined cases: rows without a doc_id stay; repeated rows become one; rows of one doc_id with different texts stay, if that id
+    stays; null, empty and wordless texts are one group; columns of any name come back as they are; an empty table gives an empty one.
+    """
     stay = near_duplicates(docs, k, radius, similarity).filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").repartition("doc_id").dropDuplicates(["doc_id", "text"])
-    return named.join(stay, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return named.join(stay, "doc_id", "left_semi").select(*map(quoted, docs.columns)).unionByName(docs.filter("doc_id is null"))

@@ -356,7 +356,7 @@ def test_near_duplicates(spark, docs, none, k, radius, similarity):
     def linked(a, b):
         if similarity is None:
             return bin(a[0] ^ b[0]).count("1") <= radius
-        return a[0] == b[0] or len(a[1] & b[1]) >= similarity * len(a[1] | b[1])
+        return len(a[1] & b[1]) >= similarity * len(a[1] | b[1])
 
     group = groups_by_force(made, linked)
     least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}

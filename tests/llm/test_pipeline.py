@@ -18,7 +18,7 @@ def test_pipeline(spark, sf_dir):
     rows = [(i, t) for (i, t, _, _), n in lines_by_force(rows, 10).items() for _ in range(n)]
     rows.sort()
     sets = [fingerprint_by_force(t, 5) for _, t in rows]
-    group = groups_by_force(sets, lambda a, b: a[0] == b[0] or len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
+    group = groups_by_force(sets, lambda a, b: len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1]))
     rows = [r for n, r in enumerate(rows) if group[n] == n]
     rows = [(i, t) for i, t in rows if not any(similarity_by_force(t, x) >= 0.8 for x in items)]
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
