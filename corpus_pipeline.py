@@ -1,7 +1,8 @@
 """A training-corpus pipeline: what toxicity, repeated lines, near-duplicates and benchmark leaks leave of documents, tokenized.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents; the last
-returns the kept documents' token ids.
+returns the kept documents' token ids. Null texts count as empty; rows without a doc_id pass all stages like others; repeated rows
+are one from the near-duplicates on; further columns, whatever their names, come through all but the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.llm.bpe import tokenize
-from askframe.llm.common import spill
+from askframe.llm.common import quoted, spill
 from askframe.llm.decontaminate import drop_leaks
 from askframe.llm.line_dedup import dedup_lines
 from askframe.llm.simhash import keep_one
@@ -26,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; n_chars follows the text."""
     kept = dedup_lines(docs, min_docs=10)
-    return kept.select(*(F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns))
+    return kept.select(*(F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else quoted(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
