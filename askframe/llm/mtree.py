@@ -2,8 +2,8 @@
 
 Vectors are quantised to integers. Each candidate goes to the nearest of a bounded number of pivots, and a pivot's rows are
 dealt to pages of a bounded size. Each page becomes an M-tree once and is written to the shared folder: nodes hold a pivot, a
-covering radius and, for each entry, its distance to the pivot. Queries go in blocks by their nearest pivot; a block meets the
-pages of its own pivot first, carries its k-th best scores on from page to page, and searches each tree best-first:
+covering radius and, for each entry, its distance to the pivot. Queries go in blocks by their nearest pivots; a block meets the
+pages of its own pivots first, carries its k-th best scores on from page to page, and searches each tree best-first:
 <q, x> = <q, p> + <q, x - p> <= <q, p> + |q| * d(x, p) bounds an entry by its stored distance and a subtree by its covering
 radius, so products with entries that can't reach the k-th best score are never computed.
 """
@@ -54,6 +54,17 @@ class Tree:
         self.nodes: list[tuple[int, float, np.ndarray | None, np.ndarray | None, list[int], np.ndarray | None]] = []
         self.root = self._build(np.arange(len(ids)), 0) if len(ids) else -1
 
+    def __getstate__(self) -> dict:
+        """Components travel in the shortest integers that hold them."""
+        x = self.x.astype(np.int64) if self.whole is None else self.whole
+        least = np.result_type(*(np.min_scalar_type(int(v)) for v in (x.min(initial=0), x.max(initial=0))))
+        return self.__dict__ | {"x": x.astype(np.int64 if least.kind == "f" else least), "whole": self.whole is not None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.whole = state["x"].astype(np.int64) if state["whole"] else None
+        self.x = state["x"].astype(np.float64)
+
     def _far(self, rows: np.ndarray, pivot: int) -> np.ndarray:
         return np.sqrt(((self.x[rows] - self.x[pivot]) ** 2).sum(1))
 
@@ -92,6 +103,8 @@ class Tree:
         if self.whole is not None or (len(q) and np.abs(q).max(initial=0.0) * self.large * max(1, q.shape[1]) >= EXACT):
             whole = self.x.astype(np.int64) if self.whole is None else self.whole
             self.products += len(q) * len(whole)
+            if (np.abs(q) @ np.abs(self.x).T).max(initial=0.0) >= 0.99 * 2**63:
+                raise OverflowError("a score has more than 64 bits")
             best.add(np.arange(len(q)), self.ids, queries @ whole.T, own)
             return
         length = np.sqrt((q * q).sum(1)) * (1 + 1e-12)
@@ -185,35 +198,66 @@ def _grouped(rows: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
 
 
 def _packed(df: DataFrame, size: int, tree: bool) -> DataFrame:
-    """g, salt, blob: runs of at most size vectors of one page (g, salt) and one length, sorted by them; as trees, or as ids and components."""
-    out = arrow_schema(df.sparkSession, "g int, salt int, blob binary")
+    """g, slot, blob: runs of at most size vectors of one slot and one length; as trees, or as ids and components. g: the first one's."""
+    schema = "g int, slot int, blob binary"
+    out = arrow_schema(df.sparkSession, schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def packed() -> pa.RecordBatch:
             ids, x = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64).reshape(len(held), -1)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([pickle.dumps(Tree(ids, x) if tree else (ids, x), 5)], pa.binary())], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array([held[0][2]], pa.int32()), pa.array([now[0]], pa.int32()), pa.array([pickle.dumps(Tree(ids, x) if tree else (ids, x), 5)], pa.binary())], schema=out)
 
         for batch in batches:
-            for g, salt, i, v in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                key = (g, salt, len(v))
+            for g, slot, i, v in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                key = (slot, len(v))
                 if held and (key != now or len(held) == size):
                     yield packed()
                     held = []
                 now = key
-                held.append((i, v))
+                held.append((i, v, g))
         if held:
             yield packed()
 
-    return df.select("g", "salt", "vec_id", "x").sortWithinPartitions("g", "salt", F.size("x")).mapInArrow(pack, "g int, salt int, blob binary")
+    return df.select("g", "slot", "vec_id", "x").sortWithinPartitions("slot", F.size("x")).mapInArrow(pack, schema)
+
+
+def _chain(pivots: list[np.ndarray]) -> list[int]:
+    """The pivots' numbers, each followed by the nearest of its length that is left; -1 comes last."""
+    left, out = list(range(len(pivots))), []
+    while left:
+        same = [i for i in left if out and len(pivots[i]) == len(pivots[out[-1]])]
+        out.append(min(same, key=lambda i: ((pivots[i] - pivots[out[-1]]) ** 2).sum()) if same else left[0])
+        left.remove(out[-1])
+    return [*out, -1]
+
+
+def _slots(chain: list[int], sizes: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """For each pivot its first slot and how many it has; all slots. Neighbours with few rows share one, a pivot with many has several."""
+    first, many, at, filled = {}, {}, 0, 0
+    for g in chain:
+        n = sizes.get(g, 0)
+        if not n:
+            continue
+        if filled and filled + n > size:
+            at, filled = at + 1, 0
+        first[g], many[g] = at, max(1, -(-n // size))
+        if many[g] > 1:
+            at += many[g]
+        else:
+            filled += n
+    return first, many, at + (filled > 0)
+
+
+def _of(numbers: dict[int, int], otherwise: int) -> Column:
+    """The number of the pivot g."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in numbers.items() for v in pair)), F.col("g")), F.lit(otherwise))
 
 
-def _dealt(rows: DataFrame, sizes: dict[int, int], size: int, n: int) -> DataFrame:
-    """rows with a salt that cuts each pivot's rows into shares of about size, on n partitions."""
-    shares = F.create_map(*(F.lit(v) for g, c in sizes.items() for v in (g, -(-c // size))))
-    salted = rows.withColumn("salt", F.floor(F.rand(7) * F.element_at(shares, F.col("g"))).cast("int"))
-    return salted.repartition(n, "g", "salt")
+def _dealt(rows: DataFrame, first: dict[int, int], many: dict[int, int], n: int) -> DataFrame:
+    """rows with their slot, on n partitions."""
+    return rows.withColumn("slot", (_of(first, 0) + F.floor(F.rand(7) * _of(many, 1))).cast("int")).repartition(n, "slot")
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -222,7 +266,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     vectors: vec_id, embedding. Defined cases: vectors that are null, or hold null or non-finite components, and null ids take
     no part; ties go to the smaller vec_id; a row is no candidate of a query with the same id; repeated rows of another id
     are candidates each, and repeated query rows ask each, so that their pairs are ranked together; vectors of another length than the query's are none; fewer candidates give fewer rows; empty vectors
-    score 0; further columns are not looked at. Scores are exact up to 64-bit integers.
+    score 0; further columns are not looked at. Scores are exact; what could exceed 64 bits raises.
     """
     spark = vectors.sparkSession
     n = partitions(spark)
@@ -236,10 +280,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     schema = "query_id long, vec_id long, score long"
     if not asks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    page = min(PAGE, max(512, -(-sum(sizes.values()) // n)))
-    pages = sum(-(-c // page) for c in sizes.values())
-    trees = spill(_packed(_dealt(rows, sizes, page, max(1, min(pages, 8 * n))), PAGE, True), "trees")
-    blocks = spill(_packed(_dealt(queries, asks, BLOCK, n), BLOCK, False), "queries")
+    chain, page = _chain(pivots), min(PAGE, max(512, -(-sum(sizes.values()) // n)))
+    *of_rows, pages = _slots(chain, sizes, page)
+    *of_queries, cells = _slots(chain, asks, BLOCK)
+    trees = spill(_packed(_dealt(rows, *of_rows, min(pages, MOST_TASKS)), PAGE, True), "trees")
+    blocks = spill(_packed(_dealt(queries, *of_queries, min(cells, MOST_TASKS)), BLOCK, False), "queries")
     out = arrow_schema(spark, schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,20 +310,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             yield found()
 
     # A grid: pages are copied along the query blocks and query blocks along the shares of pages; a cell is read as a stream, queries first.
-    shares, width = max(1, min(pages, n)), {g: -(-c // BLOCK) for g, c in asks.items()}
-    base = dict(zip(width, np.cumsum([0, *width.values()]).tolist(), strict=False))
-    cells = sum(width.values())
-
-    def of(numbers: dict[int, int], otherwise: int) -> Column:
-        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in numbers.items() for v in pair)), F.col("g")), F.lit(otherwise))
+    shares = min(pages, n)
 
     def along(last: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(last - 1)))
 
-    asked = blocks.select(along(shares).alias("s"), (of(base, 0) + F.col("salt")).alias("b"), F.lit(0).alias("kind"), F.lit(0).alias("far"), "blob")
-    spread = trees.select("g", F.pmod(F.xxhash64("blob"), F.lit(shares)).cast("int").alias("s"), along(cells).alias("b"), "blob")
-    near = (F.col("b") >= of(base, -1)) & (F.col("b") < of(base, -1) + of(width, 0))
-    spread = spread.select("s", "b", F.lit(1).alias("kind"), F.when(near, 0).otherwise(1).alias("far"), "blob")
+    asked = blocks.select(along(shares).alias("s"), F.col("slot").alias("b"), F.lit(0).alias("kind"), F.lit(0).alias("far"), "blob")
+    spread = trees.select("g", F.pmod("slot", F.lit(shares)).alias("s"), along(cells).alias("b"), "blob")
+    spread = spread.select("s", "b", F.lit(1).alias("kind"), F.abs(F.col("b") - _of(of_queries[0], 0)).alias("far"), "blob")
     met = asked.unionByName(spread).repartition(min(shares * cells, MOST_TASKS), "s", "b").sortWithinPartitions("s", "b", "kind", "far")
     found = met.select("s", "b", "kind", "blob").mapInArrow(search, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

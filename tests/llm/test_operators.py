@@ -534,3 +534,36 @@ def test_sql_agrees(spark, sf_dir):
         df = queries.queries()[name](spark, sf_dir)
         got = con.execute(sql)
         assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in got.description], got.fetchall()), name
+
+
+# --- top k, pages ---
+
+
+def test_top_k_in_many_pages_and_blocks(spark, monkeypatch):
+    """Clusters, one with a third of all rows, equal vectors and large components; small pages and blocks."""
+    for name, n in (("PAGE", 60), ("BLOCK", 3), ("PIVOTS", 7), ("LEAF", 8), ("FANOUT", 3)):
+        monkeypatch.setattr(mtree, name, n)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(6, 12)) * 4
+    rows = [(i, (centres[0 if i % 3 == 0 else i % 6] + rng.normal(size=12)).tolist()) for i in range(900)] + [(1000 + i, [0.25] * 12) for i in range(200)] + [(5000, [3.0e6] * 12), (5001, [-2.9e6] * 12), (5050, [1.0e6] * 12)]
+    good = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows]
+    expected = []
+    for i, q in good:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in good if j != i)[:5]
+            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    x = np.array([[2**40] * 3])
+    with pytest.raises(OverflowError):
+        mtree.Tree(np.array([1]), x).search(x, np.array([2]), mtree.Best(1, 5))
+
+
+def test_products_are_avoided():
+    """In clusters most products are ruled out by the stored distances."""
+    rng = np.random.default_rng(12)
+    x = np.floor(256 * (rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] * 3 + 0.1 * rng.normal(size=(6000, 16)))).astype(np.int64)
+    tree, best = mtree.Tree(np.arange(6000), x), mtree.Best(20, 5)
+    tree.search(x[:20], np.arange(20), best)
+    assert sorted(best.rows(np.arange(20))) == sorted((i, j, int(s)) for i in range(20) for s, j in sorted(((int(x[i] @ x[j]), j) for j in range(6000) if j != i), key=lambda r: (-r[0], r[1]))[:5])
+    assert tree.products < 0.3 * 20 * 6000
