@@ -174,6 +174,10 @@ class Cache:
     def __init__(self):
         self.known = Numbers()
 
+    def shrink(self) -> None:
+        """After a task: what follows in the worker gets the older generation's memory."""
+        self.known.older = None
+
     def renew(self) -> Numbers:
         """To be asked for before each run of texts."""
         if len(self.known) > CACHE:
@@ -242,6 +246,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([r[0] for r in rows]), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), ids.cast(out.field(1).type), pa.array([r[1] for r in rows], pa.binary())], schema=out)
                 at += len(some)
+        cache.shrink()
 
     return docs.select("doc_id", "text").mapInArrow(encode, schema)
 

@@ -62,6 +62,12 @@ class Model:
 BLANK = Model(np.empty(0), np.empty(0), -60.0)
 
 
+def _stands_out(pos, free, n_pos: int, n_free: int, sqrt):
+    """Whether a feature in pos of the positives and free of the unlabelled gets a weight."""
+    share = (free + 1) / (n_free + 2)
+    return (pos >= MIN_DOCS) & (pos >= LIFT * n_pos * share) & (pos - n_pos * share >= SCREEN * sqrt(n_pos * share * (1 - share)))
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Full-batch Adam on the corrected risk; where the unlabelled part turns negative, its gradient is reversed."""
     rows = positive + unlabelled
@@ -71,9 +77,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     names, at = np.unique(np.concatenate(rows), return_inverse=True)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     in_pos, in_all = np.bincount(at[doc < n_pos], minlength=len(names)), np.bincount(at, minlength=len(names))
-    share = (in_all - in_pos + 1) / (len(unlabelled) + 2)
-    chosen = (in_pos >= MIN_DOCS) & (in_pos >= LIFT * n_pos * share) & (in_pos - n_pos * share >= SCREEN * np.sqrt(n_pos * share * (1 - share)))
-    keep = chosen[at]
+    keep = _stands_out(in_pos, in_all - in_pos, n_pos, len(unlabelled), np.sqrt)[at]
     used, at = np.unique(at[keep], return_inverse=True)
     doc = doc[keep]
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -97,8 +101,8 @@ def _smallest(ids: DataFrame, n: int, kind: int) -> DataFrame:
 
 
 def _fit_rows(docs: DataFrame, positive: DataFrame, free: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Features of the fit's documents, a row each: of repeated ids the text with the smallest hash. Only features found in
-    MIN_DOCS positives or more can get a weight, so only they reach the driver."""
+    """Features of the fit's documents, a row each: of repeated ids the text with the smallest hash. Only features that can get
+    a weight reach the driver."""
     spark = docs.sparkSession
     ids = spill(_smallest(positive, FIT_POSITIVE, 1).unionByName(_smallest(free, FIT_UNLABELLED, 0)), "fit_ids")
     near = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -111,11 +115,14 @@ def _fit_rows(docs: DataFrame, positive: DataFrame, free: DataFrame) -> tuple[li
 
     once = near.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(pack, schema).groupBy("doc_id").agg(F.min_by("x", "th").alias("x"))
     rows = spill(once.join(F.broadcast(ids), "doc_id").select("kind", "x"), "fit")
-    known = np.array([r.f for r in rows.filter("kind = 1").select(F.explode("x").alias("f")).groupBy("f").count().filter(F.col("count") >= MIN_DOCS).select("f").collect()], np.int64)
+    n = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    per = rows.select("kind", F.explode("x").alias("f")).groupBy("f").agg(F.count_if(F.col("kind") == 1).alias("pos"), F.count_if(F.col("kind") == 0).alias("free"))
+    known = np.array(sorted(r.f for r in per.filter(_stands_out(F.col("pos"), F.col("free"), n.get(1, 0), n.get(0, 0), F.sqrt)).select("f").collect()), np.int64)
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.intersect1d(x.values, known).astype(np.uint32).tobytes() for x in batch.column(1)], pa.binary())], names=["kind", "x"])
+            x = [np.asarray(v.values, np.int64) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[np.isin(v, known, assume_unique=True)].astype(np.uint32).tobytes() for v in x], pa.binary())], names=["kind", "x"])
 
     got = rows.mapInArrow(few, "kind int, x binary").collect()  # FIT_POSITIVE and FIT_UNLABELLED rows, at most
     return tuple([np.frombuffer(r.x, np.uint32) for r in sorted(got, key=lambda r: r.x) if r.kind == kind] for kind in (1, 0))
