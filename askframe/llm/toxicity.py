@@ -172,4 +172,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model |
         for batch in batches:
             yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any kind don't pass mapInArrow
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
