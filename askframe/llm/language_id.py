@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import arrow_schema, fold
+from .common import arrow_schema, fold, spill
 
 #: Length of profiles.
 RANKS = 400
 #: Training documents per language, at most: those with the smallest hash of their id. Bounds the fit, not what is predicted.
 FIT_PER_LANG = 1500
+#: Shares in which a language's n-grams are ranked first.
+SHARES = 16
 
 _SYMBOL: list[np.ndarray] = []
 
@@ -80,12 +82,32 @@ class Profiles:
         return self.langs[best], 1.0 - far[best] / (RANKS * len(codes))
 
 
+def _smallest(ids: DataFrame, per_lang: int) -> DataFrame:
+    """doc_id, lang of the per_lang rows of each language whose id has the smallest hash.
+
+    Of a language with many rows only those with a hash small enough for about four times as many are sorted, so that no task
+    gets a language's rows; should they be too few (ids repeat), all are.
+    """
+    spark = ids.sparkSession
+    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}  # a row for each language
+    hashed = ids.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    limits = spark.createDataFrame([(lang, int(-(2**63) + min(1.0, 4 * per_lang / n) * (2**64 - 2048))) for lang, n in counts.items()], "lang string, most long")
+    few = hashed.join(F.broadcast(limits), "lang").filter("h <= most")
+    least = Window.partitionBy("lang").orderBy("h", "doc_id")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return spill(rows.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= per_lang).select("doc_id", "lang"), "fit_langs")
+
+    got = first(few)
+    found = {r.lang: r["count"] for r in got.groupBy("lang").count().collect()}
+    return (got if all(found.get(lang, 0) >= min(per_lang, n) for lang, n in counts.items()) else first(hashed)).distinct()
+
+
 def learn_profiles(docs: DataFrame, per_lang: int = FIT_PER_LANG) -> Profiles:
     """Profiles from documents with a language outside the held-out fold; per_lang bounds them for each language."""
     ship(docs.sparkSession)
     ids = docs.filter("lang is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 1).select("doc_id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
+    ids = _smallest(ids, per_lang)
     chosen = [r[0] for r in ids.select("doc_id").collect()]  # per_lang ids for each language, at most
     if not chosen:
         return Profiles({})
@@ -103,7 +125,8 @@ def learn_profiles(docs: DataFrame, per_lang: int = FIT_PER_LANG) -> Profiles:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "gram", "n"])
 
     sums = fit.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= RANKS)
+    for part in ((F.pmod(F.hash("gram"), F.lit(SHARES)),), ()):  # first in shares of a language, then what they leave
+        top = sums = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang", *part).orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= RANKS)
     by_lang: dict[str, list[int]] = {}
     for row in sorted(top.collect(), key=lambda r: (r.lang, r.r)):
         by_lang.setdefault(row.lang, []).append(row.gram)

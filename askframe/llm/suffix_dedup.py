@@ -463,7 +463,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a LENGTH-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same
     document. Strings never cross documents and are judged on the input. Defined cases: null text is empty; a null doc_id
     comes before all others; rows of one doc_id and different texts are ordered by a hash of the text; fully repeated rows are
-    one document, returned once for each row; texts of any length are taken whole; further columns are not looked at.
+    one document, returned once for each row; texts of any length are taken whole; further columns are not looked at; a doc_id
+    must be, or read as, a 64-bit integer (others raise); an empty table gives an empty one. Whole segments are equal if their minimizers and their 64-bit hashes are.
     """
     spark = docs.sparkSession
     out = arrow_schema(spark, BLOB)
