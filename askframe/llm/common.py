@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +54,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
 
 
+def each(column: pa.Array, some: int = 512) -> Iterator:
+    """The values of an Arrow column as Python objects, a few at a time: a batch of long texts is never held twice."""
+    for at in range(0, len(column), some):
+        yield from column.slice(at, some).to_pylist()
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow form of a DDL schema; whoever needs it runs Python on the executors, so the package is sent there."""
     ship(spark)
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
-__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "arrow_schema", "ascii_lower", "fold", "fresh", "partitions", "quoted", "shared_dir", "spill", "words_of"]
+__all__ = ["ASCII_LOWER", "LOWER", "UPPER", "arrow_schema", "ascii_lower", "each", "fold", "fresh", "partitions", "quoted", "shared_dir", "spill", "words_of"]

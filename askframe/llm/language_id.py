@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import arrow_schema, fold, spill
+from .common import arrow_schema, each, fold, spill
 
 #: Length of profiles.
 RANKS = 400
@@ -117,7 +117,7 @@ def learn_profiles(docs: DataFrame, per_lang: int = FIT_PER_LANG) -> Profiles:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
                 mine = total.setdefault(lang, {})
                 for k, n in zip(*(x.tolist() for x in grams(text)), strict=True):
                     mine[k] = mine.get(k, 0) + n
@@ -146,7 +146,7 @@ def identify_languages(docs: DataFrame, profiles: Profiles | None = None) -> Dat
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [profiles.predict(t) for t in batch.column(2).to_pylist()]
+            said = [profiles.predict(t) for t in each(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], schema=out)
 
     return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text").mapInArrow(predict, schema)

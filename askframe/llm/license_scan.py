@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, arrow_schema
+from .common import LOWER, UPPER, arrow_schema, each
 
 # Base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -112,7 +112,7 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dic
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in each(batch.column(0)):
                 n.update(vocabulary.intersection(words_of(text)))
             n[b""] += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], schema=out)
@@ -140,7 +140,7 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
         index = RareTokenIndex(base, notices, df, n_docs)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in each(batch.column(1)):
                 words = words_of(text)
                 starts, found, more, score = index.scan(words)
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(found)), ",".join(sorted(found | more)), score))

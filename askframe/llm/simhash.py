@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import arrow_schema, partitions, quoted, spill, words_of
+from .common import arrow_schema, each, partitions, quoted, spill, words_of
 from .components import components
 from .trie import _expand, trie_links
 
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, k: int, bands: bool = False) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, nodes, keys = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in each(batch.column(2)):
                 h = shingle_hashes(text, k)
                 fps.append(fingerprint(h))
                 if bands:
@@ -188,7 +188,7 @@ def _shingle_sets(nodes: DataFrame, docs: DataFrame, prints: DataFrame, k: int)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, k)).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, k)).view(np.int64) for t in each(batch.column(1))], pa.list_(pa.int64()))], schema=out)
 
     return spill(texts.mapInArrow(work, "node long, s array<long>"), "shingles")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import arrow_schema, fold, spill
+from .common import arrow_schema, each, fold, spill
 
 #: Beside each word its first letters, so many of them, are features: inflected forms share a weight.
 STEMS = (4, 5, 6)
@@ -111,7 +111,7 @@ def _fit_rows(docs: DataFrame, positive: DataFrame, free: DataFrame) -> tuple[li
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).astype(np.int64) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).astype(np.int64) for t in each(batch.column(2))], pa.list_(pa.int64()))], schema=out)
 
     once = near.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(pack, schema).groupBy("doc_id").agg(F.min_by("x", "th").alias("x"))
     rows = spill(once.join(F.broadcast(ids), "doc_id").select("kind", "x"), "fit")
@@ -152,7 +152,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = np.array([model.score(t) for t in batch.column(2).to_pylist()], np.float64)
+            said = np.array([model.score(t) for t in each(batch.column(2))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said), pa.array((said >= threshold).astype(np.int32))], schema=out)
 
     return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text").mapInArrow(predict, schema)
@@ -170,7 +170,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model |
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t) < threshold for t in each(batch.column(at))], pa.bool_()))
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any kind don't pass mapInArrow
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
