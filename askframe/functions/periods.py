@@ -5,7 +5,7 @@ Bounds are naive wall-clock datetimes in that zone; they become moments where a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
@@ -109,11 +109,21 @@ def _span(p: Parts, clock: Clock) -> tuple[datetime, datetime]:
     return a, _next(a, "year")
 
 
+def repaired(spec: PeriodSpec) -> PeriodSpec:
+    """The key that fits what was said of the date: "specific month" of a quarter is that quarter; of nothing, no period."""
+    if not spec.key.startswith("specific_"):
+        return spec
+    p = spec.first
+    unit = "quarter" if p.quarter else "day" if p.month and p.day else "month" if p.month else "year" if p.year else ""
+    return replace(spec, key=f"specific_{unit}" if unit else "none")
+
+
 def period_bounds(spec: PeriodSpec, clock: Clock) -> tuple[datetime | None, datetime | None]:
     """[start, end) of a period; None is open. this_* and since end at as_of, last_* is the whole calendar period.
 
     A day that a shorter month lacks is that month's last (three months before 31 May is 28 or 29 February).
     """
+    spec = repaired(spec)
     now, key = clock.as_of, spec.key
     if key == "none":
         return None, None

@@ -12,8 +12,20 @@ SYNONYMS = (
     ("employee", "staff", "worker"), ("region", "area", "territory"), ("nation", "country"), ("price", "cost"), ("total", "sum", "overall"), ("quantity", "units", "volume"), ("invoice", "bill"),
     ("category", "kind", "type"), ("segment", "group"), ("status", "state"), ("ticket", "case", "issue"), ("ship", "deliver", "dispatch"), ("value", "amount", "worth", "price"),
 )
-# Short forms of places.
-PLACES = {"us": "united states", "usa": "united states", "uk": "united kingdom", "uae": "united arab emirates", "ca": "california", "ny": "new york", "tx": "texas", "wa": "washington", "fl": "florida"}
+# Codes of states and countries.
+STATES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "FL": "Florida", "GA": "Georgia",
+    "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland",
+    "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey",
+    "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina",
+    "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia", "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming", "DC": "District of Columbia",
+}
+COUNTRIES = {
+    "US": "United States", "CA": "Canada", "GB": "United Kingdom", "DE": "Germany", "FR": "France", "MX": "Mexico", "JP": "Japan",
+    "AU": "Australia", "IN": "India", "BR": "Brazil", "CN": "China", "ES": "Spain", "IT": "Italy", "NL": "Netherlands",
+}
+#: Further short forms of countries.
+MORE_COUNTRIES = {"USA": "United States", "UK": "United Kingdom", "UAE": "United Arab Emirates"}
 
 
 def singular(w: str) -> str:
@@ -63,6 +75,10 @@ def alike(word: str) -> frozenset[str]:
     return frozenset({s}.union(*(map(stem, g) for g in SYNONYMS if s in set(map(stem, g)))))
 
 
-def aliases(value: str) -> frozenset[str]:
-    v = value.lower()
-    return frozenset({v, v.replace("_", " "), v.replace("-", " "), re.sub(r"^\d+[- ]", "", v)} | {k for k, full in PLACES.items() if full == v})
+def aliases(value: str, column: str = "") -> frozenset[str]:
+    """The ways to say a value; codes of places and their names stand for each other, by what the column's name says it holds."""
+    v, c = value.lower(), column.lower()
+    tables = [t for word, some in (("state", (STATES,)), ("country", (COUNTRIES, MORE_COUNTRIES)), ("nation", (COUNTRIES, MORE_COUNTRIES))) if word in c for t in some]
+    full = {t[value.upper()].lower() for t in tables if value.upper() in t}
+    short = {k.lower() for t in tables or (STATES, COUNTRIES, MORE_COUNTRIES) for k, name in t.items() if name.lower() == v}
+    return frozenset({v, v.replace("_", " "), v.replace("-", " "), re.sub(r"^\d+[- ]", "", v)} | full | short)

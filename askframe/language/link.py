@@ -36,7 +36,7 @@ def link_values(request: str, spans: list[Span], model: SchemaModel, frames: dic
             if t.hidden or c.hidden or not c.values or not (c.searchable or c.role == "dimension_categorical"):
                 continue
             for v in c.values:
-                for form in aliases(str(v)):
+                for form in aliases(str(v), c.name):
                     if not form or form in names or singular(form) in names:
                         continue
                     pattern = rf"(?<!\w){re.escape(form)}(?:s|es)?(?!\w)"

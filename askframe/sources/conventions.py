@@ -6,7 +6,9 @@ Every rule leaves its name and a confidence on what it decided; ``doctor`` lists
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame
 
@@ -15,17 +17,65 @@ from .catalog import columns_of, plain_names
 from .model import ColumnModel, Relationship, SchemaModel, TableModel, Unit
 from .profile import ordered_share, profile
 
-NON_ADDITIVE = re.compile(r"(^|_)(price|rate|ratio|score|rating|age|percent|pct|average|avg|level|latitude|longitude|discount|tax|balance|retailprice|acctbal|csat)(_|$)|(price|rate|bal)$")
-SEMI_ADDITIVE = re.compile(r"(^|_)(on_hand|stock|inventory|headcount|reserved|backlog)(_|$)")
-ADDITIVE = re.compile(r"(^|_)(amount|total|subtotal|quantity|qty|revenue|cost|sales|units|views|count|minutes|seconds|hours|freight)(_|$)|(amount|quantity|totalprice|extendedprice)$")
-ATTRIBUTE = re.compile(r"(^|_)(year|month|day|size|zip|phone|version|number|code|position|linenumber|weight|length|height|width)(_|$)|(number|code|size)$")
-PERSONAL = re.compile(r"(^|_)(email|phone|ssn|password|line1|line2|address|birth_?date|dob)(_|$)")
-MONEY = re.compile(r"(^|_)(price|amount|total|subtotal|cost|revenue|tax|shipping|discount|freight|refund|fee|balance)(_|$)|(price|totalprice|acctbal)$")
-SOFT_DELETE = re.compile(r"^(deleted_at|is_deleted|deleted|archived_at|removed_at)$")
-AUDIT = re.compile(r"^(created_at|updated_at|modified_at|inserted_at|last_modified)$")
+# Names of columns by what they say of them; * stands for anything. Names are in snake case.
+AUDIT = "updated_at updated_on modified_at modified_on changed_at changed_on last_update last_updated last_updates last_modified last_changed date_modified modified updated row_version *_synced_at *_loaded_at *_imported_at *_refreshed_at"
+SOFT_DELETE = "deleted_at archived_at discarded_at removed_at"
+ATTRIBUTE = "*_id id *code *zip *postal* *phone *year *_number number *_no *version *rank *position *sort_order lat* lng* lon* *latitude *longitude *_seq *sequence year_* *_year_*"
+PERSONAL = "email e_mail phone phone_number mobile ssn social_security* dob date_of_birth birthdate birth_date line1 line2 address_line address_line? street password* ip_address token api_key secret *_email *_phone *_ssn"
+TENANT = "tenant_id org_id organization_id account_id workspace_id"
+# Words in names of numeric columns.
+NON_ADDITIVE = "unit price rate ratio pct percent percentage score rating avg average margin age temperature temp lat lon"
+SEMI_ADDITIVE = "balance on_hand stock inventory level headcount"
+ADDITIVE = "amount total subtotal quantity qty count cents revenue cost fee tax shipping discount units views clicks sessions minutes seconds hours ms grams kg lbs"
+MONEY = "price amount revenue cost fee"
+# Stages of common life cycles; a pair in this order on one row spans a duration.
+LIFECYCLES = (
+    "placed ordered submitted paid shipped delivered returned",
+    "opened first_response responded acknowledged resolved closed",
+    "started ended finished completed",
+    "created started completed",
+    "requested approved fulfilled",
+    "hired terminated",
+    "launched discontinued",
+    "issued sent viewed due paid",
+    "submitted reviewed approved rejected",
+    "scheduled started completed",
+    "signed_up activated churned cancelled",
+    "trial_started trial_ended converted",
+    "applied interviewed offered hired",
+)
+# Own additions: flags of deletion, run-together names, further amounts of money, and what else is no measure.
+MORE_SOFT_DELETE = "is_deleted deleted"
+MORE_NON_ADDITIVE = "*retailprice *acctbal *csat"
+MORE_ADDITIVE = "*totalprice *extendedprice *freight"
+MORE_MONEY = "*totalprice *extendedprice *retailprice *acctbal total subtotal *_total tax shipping discount freight refund balance"
+MORE_ATTRIBUTE = "*size *weight *length *height *width month day *_month *_day linenumber"
+MORE_PERSONAL = "*address"
+#: Times of a table up to which pairs of no life cycle are sampled too.
+SAMPLED_EVENTS = 5
 EVENT_ORDER = ("placed", "ordered", "order", "occurred", "event", "started", "opened", "processed", "issued", "ship", "created")
-#: Stages of common life cycles: a pair in this order spans a duration.
-LIFECYCLES = (("opened", "first_response", "resolved", "closed"), ("placed", "paid", "shipped", "delivered"), ("started", "ended"), ("hired", "terminated"), ("rental", "return"), ("issued", "paid"), ("launched", "discontinued"))
+
+
+def fits(name: str, *patterns: str) -> bool:
+    """Whether a snake-case name is one of the names, * standing for anything."""
+    return any(fnmatchcase(name, p) for some in patterns for p in some.split())
+
+
+def holds(name: str, words: str) -> bool:
+    """Whether one of the words stands in a snake-case name."""
+    return any(f"_{w}_" in f"_{name}_" for w in words.split())
+
+
+def values_of_check(check: str) -> tuple[list[str] | None, tuple[float | None, float | None]]:
+    """What a CHECK condition on one column allows: listed texts, or bounds."""
+    low = high = None
+    if m := re.search(r"\bbetween\s+(-?[\d.]+)\s+and\s+(-?[\d.]+)", check, re.I):
+        low, high = float(m[1]), float(m[2])
+    for op, n in re.findall(r"([<>]=?)\s*\(?\s*(-?\d+(?:\.\d+)?)", check):
+        low, high = (float(n), high) if op[0] == ">" else (low, float(n))
+    listed = re.search(r"\bin\s*\(|\bany\s*\(|\barray\s*\[", check, re.I)
+    texts = [t.replace("''", "'") for t in re.findall(r"'((?:[^']|'')*)'", check[listed.start() :])] if listed else []
+    return texts or None, (low, high)
 
 
 @dataclass
@@ -46,6 +96,7 @@ class Config:
     default_time: dict[str, str] = field(default_factory=dict)
     display: dict[str, tuple[str, ...]] = field(default_factory=dict)
     tenant: str | None = None
+    checks: dict[str, str] = field(default_factory=dict)  # conditions on one column, as SQL says them
 
 
 def unit_of(name: str, kind: str) -> Unit | None:
@@ -66,7 +117,7 @@ def unit_of(name: str, kind: str) -> Unit | None:
     for pattern, detail in ((r"_(g|grams?)$", "g"), (r"_(kg|kilograms?)$", "kg"), (r"_(lbs?|pounds?)$", "lb")):
         if re.search(pattern, n):
             return Unit("weight", detail=detail)
-    return Unit("money") if MONEY.search(n) else None
+    return Unit("money") if holds(n, MONEY) or fits(n, MORE_MONEY) else None
 
 
 def _role(c: ColumnModel, table: TableModel) -> tuple[str, float, str]:
@@ -74,11 +125,11 @@ def _role(c: ColumnModel, table: TableModel) -> tuple[str, float, str]:
     if c.kind == "json":
         return "json", 1.0, "json"
     if c.kind in ("timestamp", "date"):
-        if SOFT_DELETE.match(n):
+        if fits(n, SOFT_DELETE):
             return "soft_delete", 0.95, "C2"
-        return ("timestamp_audit", 0.9, "C3") if AUDIT.match(n) else ("attribute", 0.9, "C15") if PERSONAL.search(n) else ("timestamp_event", 0.85, "C4")
+        return ("timestamp_audit", 0.9, "C3") if fits(n, AUDIT) else ("attribute", 0.9, "C15") if fits(n, PERSONAL, MORE_PERSONAL) else ("timestamp_event", 0.85, "C4")
     if c.kind == "boolean":
-        return ("soft_delete", 0.9, "C2") if SOFT_DELETE.match(n) else ("boolean_flag", 1.0, "C6")
+        return ("soft_delete", 0.9, "C2") if fits(n, SOFT_DELETE, MORE_SOFT_DELETE) else ("boolean_flag", 1.0, "C6")
     if c.kind == "enum" or (c.kind == "text" and c.values and not c.unique and (c.n_distinct or 0) <= max(50, 0.01 * (table.rows or 0))):
         return "dimension_categorical", 0.9, "C8"
     if c.kind == "text":
@@ -88,17 +139,17 @@ def _role(c: ColumnModel, table: TableModel) -> tuple[str, float, str]:
     if c.kind == "number":
         if c.low == 0 and c.high == 1 and c.n_distinct == 2 and c.type in ("tinyint", "smallint", "int", "bigint"):
             return "boolean_flag", 0.8, "C6b"
-        if SEMI_ADDITIVE.search(n):
-            return "measure_semiadditive", 0.8, "C11"
-        if NON_ADDITIVE.search(n) and not n.endswith("total_cents"):
+        if fits(n, ATTRIBUTE, MORE_ATTRIBUTE):
+            return "attribute", 0.85, "C9"
+        if holds(n, NON_ADDITIVE) or fits(n, MORE_NON_ADDITIVE):
             return "measure_nonadditive", 0.8, "C11"
-        if ADDITIVE.search(n):
-            return "measure_additive", 0.9, "additive name"
-        if ATTRIBUTE.search(n):
-            return "attribute", 0.75, "C9"
+        if holds(n, SEMI_ADDITIVE):
+            return "measure_semiadditive", 0.75, "C11"
+        if holds(n, ADDITIVE) or fits(n, MORE_ADDITIVE):
+            return "measure_additive", 0.8, "C11"
         if c.n_distinct is not None and c.n_distinct <= 10:
             return "measure_nonadditive", 0.6, "few values"
-        return "measure_additive", 0.6, "number"
+        return "measure_additive", 0.55, "C11"
     return "other", 0.5, "none"
 
 
@@ -140,7 +191,8 @@ def build_model(frames: dict[str, DataFrame], config: Config | None = None, scan
             c.primary = t.pk == (c.name,)
             c.unique = c.primary or f"{name}.{c.name}" in cfg.unique
         model.tables[name] = t
-    linked = {(a, b) for a, b, _, _ in cfg.references}
+    tenants = _tenants(model, cfg)
+    linked = {(a, b) for a, b, _, _ in cfg.references} | {(t.name, c) for t in model.tables.values() for c in t.columns if c in tenants}
     for child, col, parent, key in cfg.references:
         one = model.tables[child].columns[col].unique
         model.relationships.append(Relationship(child, (col,), parent, (key,), "1:1" if one else "N:1", "declared", "", 1.0))
@@ -161,14 +213,17 @@ def build_model(frames: dict[str, DataFrame], config: Config | None = None, scan
                 c.role, c.confidence, c.rule = "identifier", 1.0, "C1"
             elif (name, c.name) in foreign:
                 c.role, c.confidence, c.rule = "foreign_key", 0.9, "R1/R2"
-            elif cfg.tenant == c.name:
-                c.role, c.confidence, c.rule = "tenant", 1.0, "C14"
+            elif c.name in tenants:
+                c.role, c.confidence, c.rule = "tenant", 0.9, "C14"
             else:
                 c.role, c.confidence, c.rule = _role(c, t)
             c.unit = unit_of(c.name, c.kind) if c.role.startswith("measure") else None
-            c.pii = bool(PERSONAL.search(snake(c.name))) or ref in cfg.personal
+            c.pii = fits(snake(c.name), PERSONAL, MORE_PERSONAL) or ref in cfg.personal
             c.searchable = c.kind in ("text", "enum") and c.role in ("dimension_categorical", "dimension_text") and not c.pii
-            c.hidden = ref in cfg.hidden or c.role == "json"
+            c.hidden = ref in cfg.hidden or c.role in ("json", "tenant")
+            if ref in cfg.checks:
+                texts, (low, high) = values_of_check(cfg.checks[ref])
+                c.values, c.low, c.high = texts or c.values, c.low if low is None else low, c.high if high is None else high
             if ref in cfg.roles:
                 c.role, c.confidence, c.rule = cfg.roles[ref], 1.0, "declared"
             c.unit = cfg.units.get(ref, c.unit)
@@ -184,13 +239,16 @@ def build_model(frames: dict[str, DataFrame], config: Config | None = None, scan
     return model
 
 
+def _tenants(model: SchemaModel, cfg: Config) -> set[str]:
+    """The declared column, else the usual names where at least two tables, and half of them, have one."""
+    if cfg.tenant:
+        return {cfg.tenant}
+    found = Counter(c for t in model.tables.values() for c in t.columns if c in TENANT.split())
+    return {c for c, n in found.items() if n >= max(2, len(model.tables) / 2)}
+
+
 def _times(t: TableModel, cfg: Config) -> None:
     events = [c for c in t.columns.values() if c.role == "timestamp_event"]
-    created = next((c for c in t.columns.values() if snake(c.name) == "created_at"), None)
-    if not events and created:  # the only time there is
-        created.role, created.rule, created.confidence = "timestamp_event", "C3b", 0.7
-        events = [created]
-
     def rank(c: ColumnModel) -> tuple:
         verb = next((i for i, w in enumerate(EVENT_ORDER) if w in snake(c.name)), len(EVENT_ORDER))
         return (c.null_share or 0) > 0.01, verb, c.name
@@ -203,7 +261,7 @@ def _shape(t: TableModel, foreign: set[tuple[str, str]], cfg: Config) -> None:
     """Junctions, snapshots (which make amounts semi-additive) and display columns."""
     refs = [c for c in t.pk if (t.name, c) in foreign]
     rest = [c for c in t.columns.values() if c.name not in t.pk]
-    t.junction = len(t.pk) == 2 and len(refs) == 2 and all(c.role in ("timestamp_audit", "identifier") or AUDIT.match(snake(c.name)) for c in rest)
+    t.junction = len(t.pk) == 2 and len(refs) == 2 and all(c.role in ("timestamp_audit", "identifier") or fits(snake(c.name), AUDIT, "created_at created_on inserted_at inserted_on id") for c in rest)
     dates = [c for c in t.pk if t.columns[c].kind in ("date", "timestamp")]
     if len(dates) == 1 and refs and len(refs) + 1 == len(t.pk):
         t.snapshot = dates[0]
@@ -219,13 +277,19 @@ def _shape(t: TableModel, foreign: set[tuple[str, str]], cfg: Config) -> None:
 
 
 def _durations(t: TableModel, df: DataFrame) -> None:
+    """Pairs of a life cycle, unless a sample contradicts them, and in tables of few times those that a sample shows to be in order."""
     events = [c.name for c in t.columns.values() if c.role == "timestamp_event"]
 
     def stages(name: str) -> dict[int, int]:
-        return {i: j for i, seq in enumerate(LIFECYCLES) for j, w in enumerate(seq) if snake(name).startswith(w)}
+        base = re.sub(r"_(at|on|date|time|ts)$", "", snake(name))
+        return {i: seq.split().index(base) for i, seq in enumerate(LIFECYCLES) if base in seq.split()}
 
+    known = {a: stages(a) for a in events}
     for a in events:
         for z in events:
-            x, y = stages(a), stages(z)
-            if any(x[i] < y[i] for i in x.keys() & y.keys()) and (ordered_share(df, a, z) or 0) >= 0.95:
+            cycles = known[a].keys() & known[z].keys()
+            if a == z or not cycles and len(events) > SAMPLED_EVENTS or any(known[a][i] > known[z][i] for i in cycles):
+                continue
+            share = ordered_share(df, a, z)
+            if cycles and (share is None or share >= 0.95) or not cycles and share is not None and share >= 0.98:
                 t.durations.append((a, z))
