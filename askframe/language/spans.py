@@ -61,7 +61,7 @@ _RELATIVE = {
     "counted": rf"\b(?:(?:in|over|during|for|within)\s+)?(?:the\s+)?{_AGO}\s+(?P<n>\d+|{'|'.join(NUMBERS)})[\s-]+(?P<unit>{_UNIT})s?\b",
     "named": rf"\b(?:the\s+)?(?P<which>this|current|last|previous|prior|past|trailing)\s+(?P<unit>{_UNIT})\b",
 }
-_NUMBER = r"(?P<sign>\$)?(?P<digits>\d[\d,]*(?:\.\d+)?)\s?(?P<scale>k|thousand|m|million|bn|billion)?\b(?P<pct>\s?%)?|\b(?P<word>" + "|".join(w for w in NUMBERS if w != "zero") + r")\b"
+_NUMBER = r"(?P<sign>\$)?(?P<digits>\d[\d,]*(?:\.\d+)?)(?:\s?(?P<scale>k|thousand|m|million|bn|billion))?\b(?P<pct>\s?%)?|\b(?P<word>" + "|".join(w for w in NUMBERS if w != "zero") + r")\b"
 
 
 def _relative(kind: str, g: dict[str, str]) -> PeriodSpec:

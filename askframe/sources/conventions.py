@@ -49,7 +49,7 @@ MORE_SOFT_DELETE = "is_deleted deleted"
 MORE_NON_ADDITIVE = "*retailprice *acctbal *csat"
 MORE_ADDITIVE = "*totalprice *extendedprice *freight"
 MORE_MONEY = "*totalprice *extendedprice *retailprice *acctbal total subtotal *_total tax shipping discount freight refund balance"
-MORE_ATTRIBUTE = "*size *weight *length *height *width month day *_month *_day linenumber"
+MORE_ATTRIBUTE = "*size *weight *length *height *width month day *_month *_day *linenumber"
 MORE_PERSONAL = "*address"
 #: Times of a table up to which pairs of no life cycle are sampled too.
 SAMPLED_EVENTS = 5

@@ -161,7 +161,9 @@ def test_amounts_are_conditions(shop):
 def test_unused_parts_are_asked_about(shop):
     r = shop.compose("How many orders with 7 reasons?")
     assert r.outcome == "clarify" and "7" in r.clarification.question
-    assert shop.answer(r.clarification.id, "none").outcome == "execute"
+    r = shop.answer(r.clarification.id, "none")  # the number is left out; the word is asked about next
+    assert r.outcome == "clarify" and "reasons" in r.clarification.question
+    assert shop.answer(r.clarification.id, "run it").outcome == "execute" and shop.answer(r.clarification.id, "rephrase").outcome == "decline"
     r = shop.compose("How many orders in March 2026 and in September 2026?")
     assert r.outcome == "clarify" and r.clarification.options == ["March 2026", "September 2026"]
     done = shop.answer(r.clarification.id, "March 2026")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from askframe import queries
+from askframe import knowledge, queries
 from askframe.operators.analyze import Ambiguous, FanOut, PlanError, Unreachable
 from askframe.operators.builder import Builder, Settings
 from askframe.operators.guard import TimedOut, TooCostly, check_cost, run
@@ -30,10 +30,13 @@ def engine(spark, sf_dir):
     return queries.engine(spark, sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+SQL = queries.oracle_sql() | knowledge.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_plan_equals_sql(spark, sf_dir, sql, name):
-    df = queries.queries()[name](spark, sf_dir)
-    got = sql.execute(queries.oracle_sql()[name])
+    df = (queries.queries() | knowledge.queries())[name](spark, sf_dir)
+    got = sql.execute(SQL[name])
 
     def rows(names, records):
         at = sorted(range(len(names)), key=lambda i: names[i])
