@@ -60,9 +60,18 @@ def each(column: pa.Array, some: int = 512) -> Iterator:
         yield from column.slice(at, some).to_pylist()
 
 
+#: Bytes of a batch that goes to Python, about; the JVM and the worker hold it several times over.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    """The Arrow form of a DDL schema; whoever needs it runs Python on the executors, so the package is sent there."""
+    """The Arrow form of a DDL schema; whoever needs it runs Python on the executors, so the package is sent there and batches
+    are bounded in bytes (in rows alone, ten thousand long texts would be one)."""
     ship(spark)
+    now = spark.conf.get(_BATCH).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Node pairs that go down together; more wait on a stack.
+#: Node pairs that go down together; more wait on a stack. They cost 40 bytes each, and up to three lots wait on each of 64 levels.
 FRONTIER = 200_000
 #: Node pairs of so few fingerprint pairs are compared directly.
 SMALL = 8
@@ -68,11 +68,13 @@ def trie_links(fps: np.ndarray, groups: np.ndarray, radius: int, full: int = 0)
         return counts[bit]
 
     parent = np.arange(n)
+    run = parent  # numbers of runs of one component; made anew when components were joined
     out: list[tuple[np.ndarray, np.ndarray]] = []
     stack = [(63, starts[k : k + FRONTIER], ends[k : k + FRONTIER], starts[k : k + FRONTIER], ends[k : k + FRONTIER], np.zeros(min(FRONTIER, len(starts) - k), np.int64)) for k in range(0, len(starts), FRONTIER)]
     while stack:
         bit, lo1, hi1, lo2, hi2, d = stack.pop()
-        run = np.cumsum(np.concatenate(([0], parent[1:] != parent[:-1])))
+        if run is None:
+            run = np.cumsum(np.concatenate(([0], parent[1:] != parent[:-1])))
         done = (run[lo1] == run[hi1 - 1]) & (run[lo2] == run[hi2 - 1]) & (parent[lo1] == parent[lo2]) & ~all_of[lo1]
         if done.any():
             lo1, hi1, lo2, hi2, d = (x[~done] for x in (lo1, hi1, lo2, hi2, d))
@@ -99,7 +101,7 @@ def trie_links(fps: np.ndarray, groups: np.ndarray, radius: int, full: int = 0)
                     a, b = a[fresh], b[fresh]
                     if len(a):
                         before = parent
-                        parent = _union(parent.copy(), a, b)
+                        parent, run = _union(parent.copy(), a, b), None
                         out.append(_forest(before, a, b))
             lo1, hi1, lo2, hi2, d = (x[~small] for x in (lo1, hi1, lo2, hi2, d))
             if not len(lo1):
