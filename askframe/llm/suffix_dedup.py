@@ -32,6 +32,8 @@ LENGTH, KMER = 100, 32
 SHALLOW = 32
 #: Distinct segments of a minimizer above which it is cut into stripes of so many windows.
 CUT_ABOVE, STRIPE = 512, 8
+#: Bytes of cut segments that are dealt to their buckets together, at least.
+CUT_BYTES = 4 << 20
 #: Bytes of a text that numpy works on at once; a power of two.
 PIECE = 1 << 20
 
@@ -247,8 +249,20 @@ def _cut(wanted: list[bytes], texts: Iterator[bytes], n: int) -> Iterator[tuple[
 
     want = _gather(wanted, _WANT)
     of = _by_doc(want)
+    rows: list[tuple[int, int, int, int, int, bytes]] = []
+    size = 0
+
+    def packed() -> Iterator[tuple[int, int, bytes]]:
+        cols = {c: np.array([r[i] for r in rows], t) for i, (c, t) in enumerate(_PIECES)}
+        bucket = _of_key(cols["k"], n)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for a, z in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            mine = order[a:z]
+            yield int(bucket[mine[0]]), CUTS, _pack(_take(cols, mine), _PIECES, b"".join([rows[i][5] for i in mine]))
+
     for blob in texts:
-        rows: list[tuple[int, int, int, int, int, bytes]] = []
+        before = len(rows)
         for doc, th, text in _each_text(blob):
             for i in of.pop((doc, th), ()):
                 k, at, count, o, cut = (int(want[c][i]) for c in ("k", "at", "n", "o", "cut"))
@@ -260,15 +274,12 @@ def _cut(wanted: list[bytes], texts: Iterator[bytes], n: int) -> Iterator[tuple[
                     a, z = max(at, anchor - STRIPE * j - STRIPE + 1), min(at + count - 1, anchor - STRIPE * j)
                     shared = text[anchor - STRIPE * j : anchor - STRIPE * j - STRIPE + 1 + LENGTH]
                     rows.append((xxhash.xxh64_intdigest(shared, j + 1), doc, th, a, z - a + 1, bytes(text[a : z + LENGTH])))
-        if not rows:
-            continue
-        cols = {c: np.array([r[i] for r in rows], t) for i, (c, t) in enumerate(_PIECES)}
-        bucket = _of_key(cols["k"], n)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        for a, z in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-            mine = order[a:z]
-            yield int(bucket[mine[0]]), CUTS, _pack(_take(cols, mine), _PIECES, b"".join([rows[i][5] for i in mine]))
+        size += sum(len(r[5]) for r in rows[before:])
+        if size >= CUT_BYTES:  # few blobs, whatever the number of text blobs
+            yield from packed()
+            rows, size = [], 0
+    if rows:
+        yield from packed()
 
 
 class BlindTrie:
