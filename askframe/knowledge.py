@@ -1,7 +1,7 @@
 """What the engine knows and decides, as rows: schema conventions, profiles, words, readings, decisions, saved answers, limits.
 
 Each is a registered query. Some are computed from the tables and have SQL over them; the others are decisions, whose SQL lists
-the rows that are right (golden values, written down from the contract of each rule).
+the rows expected (golden values, taken from a run and read through: they guard against change more than they prove).
 """
 
 from __future__ import annotations
@@ -226,7 +226,7 @@ def cost_limits(spark: SparkSession, sf_dir: str) -> Rows:
     return [*out, ("sum of tables", plan_bytes(both)[0] >= plan_bytes(orders)[0])]
 
 
-# Golden values, one row a line.
+# Golden values, one row a line, taken from a run on the smallest tables and read through.
 
 _SCHEMA_ROLES = """
 ('region', 'r_regionkey', 'identifier'),
