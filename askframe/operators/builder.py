@@ -18,7 +18,7 @@ from .graph import JoinGraph, Path
 
 @dataclass(frozen=True)
 class Settings:
-    max_rows: int = 5000
+    max_rows: int | None = 5000  # None: all groups
     lookup_rows: int = 1000
     ranking_rows: int = 10
     zone: str = "UTC"  # of wall-clock times, where columns hold moments
@@ -325,7 +325,8 @@ class Builder:
         df = self._ordered(plan, df, columns)
         limit = plan.limit or (self.settings.ranking_rows if plan.shape == "ranking" and not plan.per_group else None)
         if dims:
-            df = df.limit(min(limit or self.settings.max_rows, self.settings.max_rows))
+            most = self._most(limit)
+            df = df if most is None else df.limit(most)
         if plan.derived:
             df, extra = self._derived(plan, df, columns)
             columns = [*columns, extra]
@@ -333,6 +334,9 @@ class Builder:
         keep = [c for c in columns if c.name not in hidden]
         return df.select(*(c.name for c in keep)), keep
 
+    def _most(self, limit: int | None) -> int | None:
+        return min((n for n in (limit, self.settings.max_rows) if n is not None), default=None)
+
     @staticmethod
     def _compares(c: Column, op: str, v: list[Column]) -> Column:
         """A negative test keeps groups without a value, as it does for rows."""
@@ -455,7 +459,7 @@ class Builder:
             c = s.col(by)
             w = Window.partitionBy(s.col(part)).orderBy(c.desc_nulls_last() if desc else c.asc_nulls_last(), *pk)
             s.df = s.df.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-        limit = min(plan.limit or self.settings.lookup_rows, self.settings.max_rows)
+        limit = self._most(plan.limit or self.settings.lookup_rows)
         out = [self._shown(c, self.model.column(ref)).alias(n) for (n, c), ref in zip(cols.items(), wanted, strict=True)]
         if plan.distinct:
             df = s.df.select(*out).distinct().orderBy(*(F.col(n).asc_nulls_last() for n in cols)).limit(limit)
