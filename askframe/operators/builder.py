@@ -362,10 +362,8 @@ class Builder:
         out: set[str] = set()
         for d in plan.dimensions:
             t = self.model.tables[d.table] if d.kind == "entity" else None
-            if t and len(t.display) == 1:
-                c = t.columns[t.display[0]]
-                if c.unique or (t.rows and (c.n_distinct or 0) >= 0.98 * t.rows):
-                    out |= set(t.pk) - {c.name}
+            if t and t.told_apart:
+                out |= set(t.pk) - {t.display[0]}
         return out
 
     @staticmethod

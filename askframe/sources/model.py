@@ -54,6 +54,14 @@ class TableModel:
     rows: int | None = None
     synonyms: list[str] = field(default_factory=list)
 
+    @property
+    def told_apart(self) -> bool:
+        """Whether the one display column tells rows apart, but for two in a hundred."""
+        if len(self.display) != 1:
+            return False
+        c = self.columns[self.display[0]]
+        return c.unique or bool(self.rows and (c.n_distinct or 0) >= 0.98 * self.rows)
+
 
 @dataclass(frozen=True)
 class Relationship:

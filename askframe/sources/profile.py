@@ -1,4 +1,4 @@
-"""What a catalog's statistics would say, computed from the data: one aggregation job a table, bounded value lists."""
+"""What a catalog's statistics would say, computed from the data: one aggregation job a table, bounded value lists, names that look unique counted."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .model import ColumnModel, TableModel
 
-#: Tables of more rows are profiled on a sample of about so many; distinct counts are then estimates.
+#: Tables of more rows are profiled on a sample of about so many; distinct counts are then estimates of the sample's.
 SAMPLE_ROWS = 200_000
 #: Columns with so many different values or fewer keep their list, of values up to this width.
 MOST_VALUES, VALUE_WIDTH = 200, 80
+#: Texts up to that width with so large a share of different values are counted exactly, in all rows.
+NEARLY_ALL = 0.9
 
 
 def profile(df: DataFrame, table: TableModel) -> None:
@@ -25,9 +27,12 @@ def profile(df: DataFrame, table: TableModel) -> None:
         x = F.col(f"`{c.name}`")
         aggs += [F.count(x).alias(f"c{i}"), F.approx_count_distinct(x, 0.02).alias(f"d{i}"), F.avg(F.length(x.cast("string"))).alias(f"w{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"z{i}")]
     got = some.agg(*aggs).first()
+    n = got["n"] or 1
     for i, c in enumerate(cols):
-        n = got["n"] or 1
         c.null_share, c.n_distinct, c.width, c.low, c.high = 1 - got[f"c{i}"] / n, got[f"d{i}"], got[f"w{i}"], got[f"a{i}"], got[f"z{i}"]
+    for c in cols:
+        if c.kind in ("text", "enum") and c.n_distinct >= NEARLY_ALL * n and (c.width or 0) <= VALUE_WIDTH:
+            c.n_distinct = df.agg(F.count_distinct(F.col(f"`{c.name}`"))).first()[0]
     short = [c for c in cols if c.kind in ("text", "enum") and (c.n_distinct or 0) <= MOST_VALUES and (c.width or 0) <= VALUE_WIDTH]
     if short:  # sets of few values each, so one job takes them all
         got = some.agg(*(F.collect_set(f"`{c.name}`").alias(f"v{i}") for i, c in enumerate(short))).first()
