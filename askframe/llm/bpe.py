@@ -1,6 +1,6 @@
 """Byte-level BPE with DuckDB recursive queries, one in-process database per Python worker.
 
-A batch is cut into pieces by the tokenizer's pattern. Pieces not seen before by the worker go to DuckDB as token-position
+A batch is cut into pieces by the tokenizer's pattern. Pieces not seen before by the task go to DuckDB as token-position
 rows (piece, position, token). A recursive query joins each row's pair with its successor to the merge table, contracts
 every piece's leftmost pair of minimum rank and repeats until no pair merges; ordered aggregation then gives each piece's
 ids and, from the vocabulary, its decoded bytes. That holds for all pieces; one that is a token as a whole is that token,
@@ -19,9 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema
+from .common import SMALL_BATCH_BYTES, arrow_schema, lean
 
-#: Pieces of a cache generation, about 300 bytes each; a worker process keeps two.
+#: Pieces of a cache generation, about 300 bytes each; a task keeps two.
 CACHE = 350_000
 #: Pieces, and bytes of them, that go to one recursive query: bounds the database's memory. It has no folder to spill to.
 AT_ONCE, BYTES_AT_ONCE, MEMORY = 20_000, 400_000, 200_000_000
@@ -174,10 +174,6 @@ class Cache:
     def __init__(self):
         self.known = Numbers()
 
-    def shrink(self) -> None:
-        """After a task: what follows in the worker gets the older generation's memory."""
-        self.known.older = None
-
     def renew(self) -> Numbers:
         """To be asked for before each run of texts."""
         if len(self.known) > CACHE:
@@ -186,10 +182,6 @@ class Cache:
         return self.known
 
 
-#: By vocabulary; a worker process that runs several tasks keeps them.
-_KNOWN: dict[str, Cache] = {}
-
-
 def _encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary."""
     if path not in _ENCODERS:
@@ -233,10 +225,10 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     length are contracted in queries of ROUNDS rounds; ranks of 2^31 or more are refused; further columns are not looked at; an empty table gives an empty one.
     """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary"
-    out = arrow_schema(docs.sparkSession, schema)
+    out = arrow_schema(docs.sparkSession, schema, SMALL_BATCH_BYTES)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, cache = regex.compile(pattern).findall, _KNOWN.setdefault(ranks_path, Cache())
+        split, cache = regex.compile(pattern).findall, Cache()  # a task's own: what follows in the worker gets its memory
         encoder = _encoder(ranks_path)
         for batch in batches:
             at = 0
@@ -246,9 +238,8 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([r[0] for r in rows]), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), ids.cast(out.field(1).type), pa.array([r[1] for r in rows], pa.binary())], schema=out)
                 at += len(some)
-        cache.shrink()
 
-    return docs.select("doc_id", "text").mapInArrow(encode, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(encode), schema)
 
 
 def digests(tokenized: DataFrame) -> DataFrame:

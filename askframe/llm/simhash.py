@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import arrow_schema, each, partitions, quoted, spill, words_of
+from .common import SMALL_BATCH_BYTES, arrow_schema, each, lean, partitions, quoted, spill, words_of
 from .components import components
 from .trie import _expand, trie_links
 
@@ -83,7 +83,7 @@ def bands_of(h: np.ndarray) -> list[int]:
 def fingerprints(docs: DataFrame, k: int, bands: bool = False) -> DataFrame:
     """doc_id, th (hash of the text), fp (signed long with the fingerprint's bits) and, if asked for, node (hash of the shingle set) and bands."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long" + ", node long, bands array<long>" * bands
-    out = arrow_schema(docs.sparkSession, schema)
+    out = arrow_schema(docs.sparkSession, schema, SMALL_BATCH_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, k: int, bands: bool = False) -> DataFrame:
             cols = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))] * bands, schema=out)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(work, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(lean(work), schema)
 
 
 def _blocks(width: int, parts: int) -> list[tuple[int, int]]:
@@ -136,7 +136,7 @@ def join_groups(rows: DataFrame, radius: int, full: int = 0) -> DataFrame:
     Groups of at most ``full`` members give all their pairs, whatever their distance.
     """
     spark = rows.sparkSession
-    out = arrow_schema(spark, "a long, b long")
+    out = arrow_schema(spark, "a long, b long", SMALL_BATCH_BYTES)
     n = partitions(spark)
     named = ["g1", "g2", "fp", *(["node"] if "node" in rows.columns else [])]
 
@@ -177,20 +177,20 @@ def join_groups(rows: DataFrame, radius: int, full: int = 0) -> DataFrame:
         if held:
             yield joined(held)
 
-    return rows.select(named).repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(work, "a long, b long").distinct()
+    return rows.select(named).repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(lean(work), "a long, b long").distinct()
 
 
 def _shingle_sets(nodes: DataFrame, docs: DataFrame, prints: DataFrame, k: int) -> DataFrame:
     """node, s: the distinct shingles of the first document of each of nodes(node)."""
     first = prints.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("node", F.col("d.doc_id").alias("_id"), F.col("d.th").alias("_th"))
     texts = docs.select("doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))).select("node", "text")
-    out = arrow_schema(docs.sparkSession, "node long, s array<long>")
+    out = arrow_schema(docs.sparkSession, "node long, s array<long>", SMALL_BATCH_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, k)).view(np.int64) for t in each(batch.column(1))], pa.list_(pa.int64()))], schema=out)
 
-    return spill(texts.mapInArrow(work, "node long, s array<long>"), "shingles")
+    return spill(texts.mapInArrow(lean(work), "node long, s array<long>"), "shingles")
 
 
 def _similar(links: DataFrame, docs: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
@@ -245,7 +245,7 @@ def _among_groups(rows: DataFrame, links: DataFrame, docs: DataFrame, prints: Da
     unit = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(j, part).alias("i"), F.greatest(j, part).alias("j"), (part > j).cast("long").alias("side")))
     dealt = named.withColumn("u", F.explode(unit)).select("g1", "g2", "u.i", "u.j", "u.side", "node", "label")
     sets = _shingle_sets(named.select("node").distinct(), docs, prints, k)
-    out = arrow_schema(spark, "a long, b long")
+    out = arrow_schema(spark, "a long, b long", SMALL_BATCH_BYTES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -267,7 +267,7 @@ def _among_groups(rows: DataFrame, links: DataFrame, docs: DataFrame, prints: Da
             yield found()
 
     units = dealt.join(sets, "node").select("g1", "g2", "i", "j", "side", "node", "label", "s")
-    return units.repartition(partitions(spark), "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j").mapInArrow(work, "a long, b long").distinct()
+    return units.repartition(partitions(spark), "g1", "g2", "i", "j").sortWithinPartitions("g1", "g2", "i", "j").mapInArrow(lean(work), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import arrow_schema, each, fold, spill
+from .common import SMALL_BATCH_BYTES, arrow_schema, each, fold, lean, spill
 
 #: Beside each word its first letters, so many of them, are features: inflected forms share a weight.
 STEMS = (4, 5, 6)
@@ -107,13 +107,13 @@ def _fit_rows(docs: DataFrame, positive: DataFrame, free: DataFrame) -> tuple[li
     ids = spill(_smallest(positive, FIT_POSITIVE, 1).unionByName(_smallest(free, FIT_UNLABELLED, 0)), "fit_ids")
     near = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, x array<long>"
-    out = arrow_schema(spark, schema)
+    out = arrow_schema(spark, schema, SMALL_BATCH_BYTES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).astype(np.int64) for t in each(batch.column(2))], pa.list_(pa.int64()))], schema=out)
 
-    once = near.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(pack, schema).groupBy("doc_id").agg(F.min_by("x", "th").alias("x"))
+    once = near.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(lean(pack), schema).groupBy("doc_id").agg(F.min_by("x", "th").alias("x"))
     rows = spill(once.join(F.broadcast(ids), "doc_id").select("kind", "x"), "fit")
     n = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     per = rows.select("kind", F.explode("x").alias("f")).groupBy("f").agg(F.count_if(F.col("kind") == 1).alias("pos"), F.count_if(F.col("kind") == 0).alias("free"))
@@ -124,7 +124,7 @@ def _fit_rows(docs: DataFrame, positive: DataFrame, free: DataFrame) -> tuple[li
             x = [np.asarray(v.values, np.int64) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[np.isin(v, known, assume_unique=True)].astype(np.uint32).tobytes() for v in x], pa.binary())], names=["kind", "x"])
 
-    got = rows.mapInArrow(few, "kind int, x binary").collect()  # FIT_POSITIVE and FIT_UNLABELLED rows, at most
+    got = rows.mapInArrow(lean(few), "kind int, x binary").collect()  # FIT_POSITIVE and FIT_UNLABELLED rows, at most
     return tuple([np.frombuffer(r.x, np.uint32) for r in sorted(got, key=lambda r: r.x) if r.kind == kind] for kind in (1, 0))
 
 
@@ -148,14 +148,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
     """
     model = model or learn_toxicity(docs, labels)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    out = arrow_schema(docs.sparkSession, schema)
+    out = arrow_schema(docs.sparkSession, schema, SMALL_BATCH_BYTES)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = np.array([model.score(t) for t in each(batch.column(2))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said), pa.array((said >= threshold).astype(np.int32))], schema=out)
 
-    return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text").mapInArrow(predict, schema)
+    return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text").mapInArrow(lean(predict), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,7 +165,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model |
     scored like others; columns of any name come back as they are; an empty table gives an empty one.
     """
     model = model or learn_toxicity(docs, labels)
-    arrow_schema(docs.sparkSession, "doc_id long")
+    arrow_schema(docs.sparkSession, "doc_id long", SMALL_BATCH_BYTES)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,4 +173,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, model: Model |
             yield batch.filter(pa.array([model.score(t) < threshold for t in each(batch.column(at))], pa.bool_()))
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any kind don't pass mapInArrow
-    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lean(keep), plain.schema).toDF(*docs.columns)
